@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from locusframe.plans import tables
+
+MODULES = (tables,)
+
 
 def queries():
-    return {}
+    return {k: f for m in MODULES for k, f in m.queries().items()}
 
 
 def oracle_sql():
-    return {}
+    return {k: s for m in MODULES for k, s in m.oracle_sql().items()}
