@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locusframe.llm import bpe, lookalike, packing, pieces, topn
+from locusframe.llm import bpe, lookalike, overlap, packing, pieces, topn
 from locusframe.session import read_table
 
 
@@ -15,6 +15,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.top_n(calls, ["contig_id", "strand", "group_id"], "score", ["tx_start", "tx_end"], "call_id", 5)
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.cross_split_pairs(read_table(spark, sf_dir, "datafile"))
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = read_table(spark, sf_dir, "datafile")
+    return overlap.report(records, overlap.cross_split_pairs(records))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split_long(read_table(spark, sf_dir, "datafile"), read_table(spark, sf_dir, "model_configs"))
 
@@ -36,4 +45,4 @@ def p9_form(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p4_found, p7_ids, p8_pack, p9_found, p9_form)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_report, p4_found, p7_ids, p8_pack, p9_found, p9_form)}
