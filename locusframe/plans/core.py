@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from locusframe.plans import tables
+from locusframe.plans import sequences, tables
 
-MODULES = (tables,)
+MODULES = (tables, sequences)
 
 
 def queries():
