@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from locusframe.plans import sequences, tables
+from locusframe.plans import intervals, scores, sequences, tables
 
-MODULES = (tables, sequences)
+MODULES = (tables, sequences, intervals, scores)
 
 
 def queries():

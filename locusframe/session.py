@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +44,33 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def write_once(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed table in the shared checkpoint folder, removed when the driver ends.
+
+    For what is wide or read more than once: a checkpoint isn't compressed.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _WRITTEN:
+        atexit.register(_remove_written)
+    _WRITTEN.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove_written() -> None:
+    for spark, path in _WRITTEN:
+        try:
+            jvm = spark.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session has ended; what the folder keeps is harmless
+            return
+
+
 def let_workers_import(spark: SparkSession) -> None:
     """Names this package's folder to Python workers, which don't see the driver's ``sys.path``."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
