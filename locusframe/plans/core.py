@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from locusframe.plans import intervals, scores, sequences, tables
+from locusframe.plans import intervals, scores, sequences, tables, tracks
 
-MODULES = (tables, sequences, intervals, scores)
+MODULES = (tables, sequences, intervals, scores, tracks)
 
 
 def queries():
