@@ -1,9 +1,10 @@
 """Annotation lines that can't be read, with the reason; the others as typed rows.
 
-Blocks of lines go through a columnar parser and columnar checks.  A block that fails any of them is
-halved until single lines fail, and only those are diagnosed strictly, character by character.  The
-columnar checks accept no faulty line; a sound line that they refuse is accepted by the diagnosis.
-Block sizes follow the share of faulty lines met so far, so that about every second block passes.
+Blocks of lines go through a columnar parser; a block that it refuses is halved until single lines are
+refused.  What it parsed is checked column by column, and the rows that fail are isolated by halving
+too.  Only isolated lines are diagnosed strictly, character by character.  The columnar checks pass no
+faulty line; a sound line that they refuse is accepted by the diagnosis.  Block sizes follow the share
+of refused lines met so far, so that about every second block is parsed at once.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as csv
@@ -134,11 +136,11 @@ def fault(line: str) -> str | None:
 
 
 class Refused(Exception):
-    """A block that the columnar path doesn't accept as a whole."""
+    """A block that the columnar parser doesn't accept as a whole."""
 
 
-def fast_parse(lines: list[str]) -> pa.Table:
-    """All lines as typed columns, or ``Refused``."""
+def bulk_parse(lines: list[str]) -> pa.Table:
+    """The columns of all lines as text, or ``Refused`` if one hasn't as many as it should."""
     try:
         t = csv.read_csv(
             io.BytesIO("\n".join(lines).encode("utf-8", "surrogatepass")),
@@ -150,29 +152,30 @@ def fast_parse(lines: list[str]) -> pa.Table:
         raise Refused from e
     if t.num_rows != len(lines):
         raise Refused
+    return t
 
-    def need(*masks) -> None:
-        for m in masks:
-            if not pc.all(m).as_py():
-                raise Refused
 
-    kind, phase = t["feature_type"], t["phase"]
-    need(
-        pc.match_substring_regex(t["start"], FAST_POSITION),
-        pc.match_substring_regex(t["end"], FAST_POSITION),
-        pc.is_in(kind, pa.array(FEATURE_TYPES)),
+def typed(t: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """The columns with their types, null where they don't fit, and which rows pass all checks."""
+    kind, phase, one = t["feature_type"], t["phase"], pa.scalar(1, pa.int64())
+    null = pa.scalar(None, pa.string())
+    ok = pc.is_in(kind, pa.array(FEATURE_TYPES))
+    for mask in (
         pc.match_substring_regex(t["score"], FAST_SCORE),
         pc.is_in(t["strand"], pa.array(STRANDS)),
         pc.is_in(phase, pa.array(PHASES)),
         pc.or_(pc.not_equal(kind, "CDS"), pc.not_equal(phase, ".")),
         pc.match_substring_regex(t["attributes"], FAST_ATTRIBUTES),
-    )
-    start, end = t["start"].cast(pa.int64()), t["end"].cast(pa.int64())
-    need(pc.greater_equal(start, 1), pc.greater_equal(end, start))
-    null = pa.scalar(None, pa.string())
-    score = pc.if_else(pc.equal(t["score"], "."), null, t["score"]).cast(pa.float64())
-    phase = pc.if_else(pc.equal(phase, "."), null, phase).cast(pa.int32())
-    return t.set_column(3, "start", start).set_column(4, "end", end).set_column(5, "score", score).set_column(7, "phase", phase)
+    ):
+        ok = pc.and_(ok, mask)
+    number = lambda c, pattern, to: pc.if_else(pc.match_substring_regex(c, pattern), c, null).cast(to)
+    start, end = (number(t[c], FAST_POSITION, pa.int64()) for c in ("start", "end"))
+    ok = pc.and_(ok, pc.fill_null(pc.and_(pc.greater_equal(start, one), pc.greater_equal(end, start)), False))
+    score = pc.if_else(pc.equal(t["score"], "."), null, t["score"])
+    values = {"start": start, "end": end, "score": number(score, FAST_SCORE, pa.float64()), "phase": number(phase, "^[0-9]$", pa.int32())}
+    for name, column in values.items():
+        t = t.set_column(COLUMNS.index(name), name, column)
+    return t, ok.to_numpy().astype(bool)
 
 
 def strict_row(line: str) -> pa.Table:
@@ -184,41 +187,62 @@ def strict_row(line: str) -> pa.Table:
     return pa.table([pa.array([v], k) for v, k in zip(values, kinds)], names=COLUMNS)
 
 
+def isolate(failures: np.ndarray, lo: int, hi: int, out: list[int]) -> None:
+    """Rows of [lo, hi) that fail, by halving; ``failures`` are the failing rows before each row."""
+    if failures[lo] == failures[hi]:
+        return
+    if hi - lo == 1:
+        out.append(lo)
+        return
+    half = (lo + hi) // 2
+    isolate(failures, lo, half, out)
+    isolate(failures, half, hi, out)
+
+
 class Loader:
-    """Parses lines in blocks of a size that follows the share of faulty ones."""
+    """Parses lines in blocks of a size that follows the share of lines with wrong columns."""
 
-    def __init__(self, rows: bool):
-        self.rows, self.seen, self.faulty = rows, 1.0, 0.0
+    def __init__(self):
+        self.seen, self.refused = 1.0, 0.0
 
     def block_size(self) -> int:
-        return max(SMALL, min(LARGE, int(0.7 * self.seen / max(self.faulty, 1e-9))))
+        return max(SMALL, min(LARGE, int(0.7 * self.seen / max(self.refused, 1e-9))))
 
-    def bisect(self, lines: list[str], at: int, good: list, bad: list) -> None:
-        """Rows of the sound lines into ``good``, (place, reason) of the others into ``bad``."""
+    def bisect(self, lines: list[str], at: int, parsed: list, single: list) -> None:
+        """Parsed blocks (place, columns) and the places of the lines that no block with them parses."""
         try:
-            table = fast_parse(lines)
-            if self.rows:
-                good.append((at, table))
+            parsed.append((at, bulk_parse(lines)))
         except Refused:
             if len(lines) == 1:
-                why = fault(lines[0])
-                if why:
-                    bad.append((at, why))
-                elif self.rows:
-                    good.append((at, strict_row(lines[0])))
+                single.append(at)
                 return
             half = len(lines) // 2
-            self.bisect(lines[:half], at, good, bad)
-            self.bisect(lines[half:], at + half, good, bad)
+            self.bisect(lines[:half], at, parsed, single)
+            self.bisect(lines[half:], at + half, parsed, single)
 
     def load(self, lines: list[str]) -> tuple[list, list]:
-        good, bad, i = [], [], 0
+        """Typed rows (places, table) and faults (place, reason) of all lines."""
+        parsed, single, i = [], [], 0
         while i < len(lines):
-            block = lines[i : i + self.block_size()]
-            before = len(bad)
-            self.bisect(block, i, good, bad)
-            self.seen, self.faulty = 0.99 * self.seen + len(block), 0.99 * self.faulty + len(bad) - before
+            block, before = lines[i : i + self.block_size()], len(single)
+            self.bisect(block, i, parsed, single)
+            self.seen, self.refused = 0.99 * self.seen + len(block), 0.99 * self.refused + len(single) - before
             i += len(block)
+        good, doubtful = [], list(single)
+        if parsed:
+            table, passes = typed(pa.concat_tables([t for _, t in parsed]))
+            place = np.concatenate([np.arange(at, at + t.num_rows) for at, t in parsed])
+            rows: list[int] = []
+            isolate(np.concatenate([[0], np.cumsum(~passes)]), 0, len(passes), rows)
+            doubtful += place[rows].tolist()
+            good.append((place[passes].tolist(), table.filter(pa.array(passes))))
+        bad = []
+        for at in doubtful:
+            why = fault(lines[at])
+            if why:
+                bad.append((at, why))
+            else:
+                good.append(([at], strict_row(lines[at])))
         return good, bad
 
 
@@ -230,9 +254,11 @@ def data_line(line: str | None) -> str | None:
     return line if line.strip() else None
 
 
-def _run(rows: bool, bad_only: bool):
+def _run(bad_only: bool):
+    kinds = [pa.string()] * 3 + [pa.int64()] * 2 + [pa.float64(), pa.string(), pa.int32(), pa.string()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loader = Loader(rows)
+        loader = Loader()
         for b in batches:
             kept = [(i, d) for i, x in enumerate(b.column(1).to_pylist()) if (d := data_line(x)) is not None]
             place = [i for i, _ in kept]
@@ -242,13 +268,10 @@ def _run(rows: bool, bad_only: bool):
             if bad_only:
                 yield pa.RecordBatch.from_arrays([ids, reasons], names=["line_id", "reason"])
                 continue
-            kinds = [pa.string()] * 3 + [pa.int64()] * 2 + [pa.float64(), pa.string(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([ids, reasons, *(pa.nulls(len(ids), k) for k in kinds)], names=["line_id", "reason", *COLUMNS])
-            if good:
-                table = pa.concat_tables([t for _, t in good]).combine_chunks()
-                at = [place[k + j] for k, t in good for j in range(t.num_rows)]
-                ids = b.column(0).take(pa.array(at, pa.int64()))
-                cols = [table[c].combine_chunks() if table.num_rows else pa.nulls(0, k) for c, k in zip(COLUMNS, kinds)]
+            for at, t in good:
+                ids = b.column(0).take(pa.array([place[k] for k in at], pa.int64()))
+                cols = [pa.concat_arrays(t[c].chunks) if t.num_rows else pa.nulls(0, k) for c, k in zip(COLUMNS, kinds)]
                 yield pa.RecordBatch.from_arrays([ids, pa.nulls(len(ids), pa.string()), *cols], names=["line_id", "reason", *COLUMNS])
 
     return run
@@ -261,7 +284,7 @@ def faulty_lines(df: DataFrame, key: str = "line_id", line: str = "raw_line") ->
     is either here or in ``load_rows``.  A line repeated under its own key is reported for each key;
     a key repeated with the same line counts once.  An empty table gives no rows.
     """
-    return df.select(F.col(key).cast("bigint").alias("line_id"), F.col(line).cast("string").alias("line")).mapInArrow(_run(False, True), "line_id bigint, reason string").distinct()
+    return df.select(F.col(key).cast("bigint").alias("line_id"), F.col(line).cast("string").alias("line")).mapInArrow(_run(True), "line_id bigint, reason string").distinct()
 
 
 def load_rows(df: DataFrame, key: str = "line_id", line: str = "raw_line") -> DataFrame:
@@ -270,4 +293,4 @@ def load_rows(df: DataFrame, key: str = "line_id", line: str = "raw_line") -> Da
     A start or end beyond 64 bits is sound but can't be held and becomes null.
     """
     read = df.select(F.col(key).cast("bigint").alias("line_id"), F.col(line).cast("string").alias("line")).distinct()
-    return read.mapInArrow(_run(True, False), ROW).filter("reason is null").drop("reason")
+    return read.mapInArrow(_run(False), ROW).filter("reason is null").drop("reason")

@@ -62,15 +62,29 @@ def scored(tiles: DataFrame, make_scorer: Callable[[], Scorer], context: int = C
 def events(tracks: DataFrame, thresholds: dict[int, float]) -> DataFrame:
     """contig_id, strand, pos, type, score of every position whose score reaches its type's threshold.
 
-    ``thresholds``: by event type.  Scores are filtered inside the arrays, before anything is exploded.
+    ``thresholds``: by event type.  The arrays of a batch are compared as a whole, without a copy; only
+    passing positions become rows.  Null scores pass no threshold.
     """
-    found = []
-    for kind, least in thresholds.items():
-        scores = F.element_at("p", S.EVENT_CLASS[kind] + 1)
-        numbered = F.transform(scores, lambda x, i: F.struct((F.col("tile_start") + i).alias("pos"), F.lit(kind).cast("tinyint").alias("type"), x.cast("double").alias("score")))
-        cut = F.lit(float(np.float32(least)))
-        found.append(F.filter(numbered, lambda e: e["score"] >= cut))  # noqa: B023
-    return tracks.select("contig_id", "strand", F.explode(F.concat(*found)).alias("e")).select("contig_id", "strand", "e.pos", "e.type", "e.score")
+    types = list(thresholds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, pos, kind, score = [], [], [], []
+            first = np.asarray(b.column(2))
+            for c, t in enumerate(types, 3):
+                lists = b.column(c)
+                flat, offsets = np.asarray(lists.flatten()), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+                at = np.flatnonzero(flat >= np.float32(thresholds[t]))
+                row = np.searchsorted(offsets, at, "right") - 1
+                rows.append(row)
+                pos.append(first[row] + at - offsets[row])
+                kind.append(np.full(len(at), t, np.int8))
+                score.append(flat[at].astype(np.float64))
+            take = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *(pa.array(np.concatenate(x)) for x in (pos, kind, score))], names=["contig_id", "strand", "pos", "type", "score"])
+
+    own = tracks.select("contig_id", "strand", "tile_start", *[F.col("p")[S.EVENT_CLASS[t]].cast("array<float>").alias(f"t{t}") for t in types])
+    return own.mapInArrow(run, f"contig_id {tracks.schema['contig_id'].dataType.simpleString()}, strand tinyint, pos bigint, type tinyint, score double")
 
 
 def capped_events(found: DataFrame, region: list[str], score: str = "score", percentile: float = 0.6, ceiling: float = 0.1, floor: int = 15, cap: int = 60, tie: list[str] | None = None) -> DataFrame:

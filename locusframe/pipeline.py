@@ -83,7 +83,7 @@ def raw_segments(contigs: DataFrame, params: Params, least: float = 0.1, make_sc
     pairs = {"cds": (4, 5), "exon": (2, 3), "inside": (6, 7)}
     out = None
     for name, (a, b) in pairs.items():
-        zipped = F.arrays_zip(F.element_at("p", a).alias("a"), F.element_at("p", b).alias("b"))
+        zipped = F.arrays_zip(F.col("p")[a - 1].alias("a"), F.col("p")[b - 1].alias("b"))
         rows = scored.select("contig_id", "strand", "tile_start", "length", F.posexplode(zipped))
         at = F.col("tile_start") + F.col("pos")
         place = F.when(F.col("strand") == 1, at).otherwise(F.col("length") - 1 - at)

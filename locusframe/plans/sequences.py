@@ -77,8 +77,8 @@ def o_region_fetch(spark, d):
 
 
 def o_cds_validate(spark, d):
-    cds = Q.spliced("seq", "seq_start", _exons(), "strand")
-    return _records(spark, d).select("rec_id", Q.cds_reason(cds).alias("reason"), Q.cds_reason(cds, need_stop=False).alias("lenient"), Q.cds_reason(cds, compat=False).alias("full")).distinct()
+    rows = _records(spark, d).select("rec_id", Q.spliced("seq", "seq_start", _exons(), "strand").alias("cds")).distinct()
+    return rows.select("rec_id", Q.cds_reason("cds").alias("reason"), Q.cds_reason("cds", need_stop=False).alias("lenient"), Q.cds_reason("cds", compat=False).alias("full"))
 
 
 def o_reason_counts(spark, d):

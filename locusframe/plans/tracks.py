@@ -26,14 +26,25 @@ def milli(c: int, letter, pos):
 
 
 def milli_tracks(spark, d, divisor: int = 1000):
-    """Records as contigs with made tracks."""
-    letters = F.split(F.upper("seq"), "")
+    """Records as contigs with made tracks; the same whole numbers as ``milli`` over the divisor."""
 
-    def track(c: int):
-        return F.transform(letters, lambda x, i: (milli(c, x, i.cast("bigint")) / divisor).cast("float"))
-
-    p = F.array(*[track(c) for c in range(7)])
-    return _records(spark, d).select(F.col("rec_id").alias("contig_id"), F.lit(1).cast("tinyint").alias("strand"), F.lit(0).cast("bigint").alias("tile_start"), p.alias("p"), "rec_id", "seq_start", "jn_start", "jn_end")
+    def run(batches):
+        for b in batches:
+            lists = []
+            ids = np.asarray(b.column(0))
+            texts = [np.frombuffer(t.encode(), np.uint8).astype(np.int64) for t in b.column(1).to_pylist()]
+            offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int32)
+            letter = np.concatenate(texts) if texts else np.empty(0, np.int64)
+            row = np.repeat(np.arange(len(texts)), np.diff(offsets))
+            pos = np.arange(len(letter)) - offsets[row]
+            for c in range(7):
+                m = (pos * (37 + 2 * c) + letter * (11 + c) + ids[row] * 7 + c * 101) % 1000
+                lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array((m / divisor).astype(np.float32))))
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists, *b.columns[2:]], names=["rec_id", *[f"p{i}" for i in range(7)], "seq_start", "jn_start", "jn_end"])
+
+    rows = _records(spark, d).select("rec_id", F.upper("seq").alias("u"), "seq_start", "jn_start", "jn_end")
+    made = rows.mapInArrow(run, f"rec_id bigint, {', '.join(f'p{i} array<float>' for i in range(7))}, seq_start bigint, jn_start string, jn_end string")
+    return made.select(F.col("rec_id").alias("contig_id"), F.lit(1).cast("tinyint").alias("strand"), F.lit(0).cast("bigint").alias("tile_start"), F.array(*[F.col(f"p{i}") for i in range(7)]).alias("p"), "rec_id", "seq_start", "jn_start", "jn_end")
 
 
 LEAST = {S.CDS_START: 0.985, S.CDS_END: 0.98, S.EXON_START: 0.97, S.EXON_END: 0.96}
@@ -59,8 +70,8 @@ def _exons():
 
 def o_exon_validity(spark, d):
     """Exons inside their record whose exon track lies above the intron track."""
-    t = milli_tracks(spark, d).withColumn("n", F.size(F.element_at("p", 1)))
-    rows = t.select("rec_id", "n", F.element_at("p", 6).alias("x"), F.element_at("p", 7).alias("y"), F.posexplode(_exons()))
+    t = milli_tracks(spark, d).withColumn("n", F.size(F.col("p")[0]))
+    rows = t.select("rec_id", "n", F.col("p")[5].alias("x"), F.col("p")[6].alias("y"), F.posexplode(_exons()))
     milli_of = lambda c: F.transform(c, lambda v: F.round(v * 1000).cast("double"))
     inside = rows.filter("col.start >= 0 and col.end <= n")
     return inside.select("rec_id", F.col("pos").alias("exon_no"), tracks.exon_validity(milli_of("x"), milli_of("y"), F.col("col.start"), F.col("col.end")).alias("valid"))
@@ -68,9 +79,9 @@ def o_exon_validity(spark, d):
 
 def o_call_score(spark, d):
     """Score of each record's exon structure as one call."""
-    t = milli_tracks(spark, d, 1).withColumn("x", _exons()).withColumn("n", F.size(F.element_at("p", 1)))
+    t = milli_tracks(spark, d, 1).withColumn("x", _exons()).withColumn("n", F.size(F.col("p")[0]))
     t = t.filter((F.size("x") > 0) & ~F.exists("x", lambda e: (e["start"] < 0) | (e["end"] > F.col("n"))))
-    rows = t.select("rec_id", *[F.element_at("p", i + 1).alias(f"p{i}") for i in range(7)], F.col("x.start").alias("s"), F.col("x.end").alias("e"))
+    rows = t.select("rec_id", *[F.col("p")[i].alias(f"p{i}") for i in range(7)], F.col("x.start").alias("s"), F.col("x.end").alias("e"))
 
     def run(batches):
         for b in batches:
@@ -117,8 +128,8 @@ def _contigs(spark, d):
 def r_scored_tiles(spark, d):
     """Sums of the motif scorer's tracks of every strand, scored in tiles of 5,000 bases."""
     t = tracks.scored(tracks.sequence_tiles(_contigs(spark, d), 5_000), scorers.motif_scorer)
-    total = lambda i: F.sum(F.aggregate(F.element_at("p", i), F.lit(0).cast("double"), lambda a, x: a + x))
-    return t.groupBy("contig_id", "strand").agg(F.sum(F.size(F.element_at("p", 1))).alias("bases"), *[F.round(total(i + 1), 3).alias(n) for i, n in enumerate(S.CLASSES)])
+    total = lambda i: F.sum(F.aggregate(F.col("p")[i - 1], F.lit(0).cast("double"), lambda a, x: a + x))
+    return t.groupBy("contig_id", "strand").agg(F.sum(F.size(F.col("p")[0])).alias("bases"), *[F.round(total(i + 1), 3).alias(n) for i, n in enumerate(S.CLASSES)])
 
 
 def _calls(spark, d):
@@ -128,7 +139,7 @@ def _calls(spark, d):
 
 def r_region_end(spark, d):
     """Where the region of every CDS start on the made tracks stops."""
-    rows = milli_tracks(spark, d).select("rec_id", *[F.element_at("p", i + 1).alias(f"p{i}") for i in range(7)])
+    rows = milli_tracks(spark, d).select("rec_id", *[F.col("p")[i].alias(f"p{i}") for i in range(7)])
 
     def run(batches):
         for b in batches:
@@ -222,7 +233,7 @@ SELECT q.rec_id, CAST(exon_no AS INT) AS exon_no, sum(g) > 0 AS valid FROM q JOI
 t AS (SELECT b.rec_id, b.pos, k.exons, {_m(5).replace('rec_id', 'b.rec_id')} - {_m(6).replace('rec_id', 'b.rec_id')} AS g, {_m(1).replace('rec_id', 'b.rec_id')} AS a, {_m(2).replace('rec_id', 'b.rec_id')} AS d, {_m(3).replace('rec_id', 'b.rec_id')} AS cs, {_m(4).replace('rec_id', 'b.rec_id')} AS ce
   FROM b JOIN k USING (rec_id) WHERE b.pos >= exons[1].start AND b.pos < exons[-1].end),
 f AS (SELECT *, len(list_filter(exons, lambda e: e.start < pos AND pos < e.end - 1)) > 0 AS ex, len(list_filter(exons, lambda e: e.start = pos OR e.end - 1 = pos)) > 0 AS bd FROM t),
-s AS (SELECT rec_id, any_value(exons) AS exons, sum(CASE WHEN bd THEN 0 WHEN ex THEN g ELSE -g END) AS agree, count(*) FILTER (NOT bd) AS n,
+s AS (SELECT rec_id, any_value(exons) AS exons, sum(CASE WHEN bd THEN 0 WHEN ex THEN g ELSE -g END) AS agree, any_value(exons[-1].end - exons[1].start - 2 * len(exons)) AS n,
   sum(CASE WHEN pos = exons[1].start THEN cs ELSE 0 END + CASE WHEN pos = exons[-1].end - 1 THEN ce ELSE 0 END) / 2.0 AS ends,
   sum(len(list_filter(exons[2:], lambda e: e.start = pos)) * a + len(list_filter(exons[1:-2], lambda e: e.end - 1 = pos)) * d) AS inner_sum FROM f GROUP BY 1)
 SELECT rec_id, round((CASE WHEN n > 0 THEN greatest(0, agree / n) ELSE 0 END + CASE WHEN len(exons) > 1 THEN (inner_sum / (2.0 * len(exons) - 2) + ends) / 2 ELSE ends END) / 2000 + 1e-9, 6) AS score FROM s""",
