@@ -115,8 +115,8 @@ def protein(seq: Column | str, strict: bool = True) -> Column:
 
 
 def int_list(text: Column | str) -> Column:
-    """Whole numbers of a comma list, empty parts left out."""
-    return F.transform(F.filter(F.split(_col(text), ","), lambda x: F.trim(x) != ""), lambda x: F.trim(x).cast("bigint"))
+    """Whole numbers of a comma list; empty parts are left out, others that are no numbers become null."""
+    return F.transform(F.filter(F.split(_col(text), ","), lambda x: F.trim(x) != ""), lambda x: F.trim(x).try_cast("bigint"))
 
 
 def slice_between(text: Column | str, begin: Column, end: Column) -> Column:

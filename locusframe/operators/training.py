@@ -89,6 +89,23 @@ def window_tiles(rows: DataFrame, block: int, context: int, compat: bool = False
     return tiles.select("rec_id", "tile_no", (F.col("tile_no").cast("bigint") * block).alias("tile_start"), F.concat(fill(left), inside, fill(right)).alias("window"))
 
 
+def datapoints(rows: DataFrame, block: int, context: int, compat: bool = False) -> DataFrame:
+    """rec_id, tile_no, x (base codes of a window in sense direction) and y (label codes of its block).
+
+    Codes stand for one-hot rows (``functions.seq.one_hot``): a base code of 4 and a label code of 7 are
+    rows of zeros; 7 fills the last block.  ``rows`` have rec_id, seq, seq_start, strand, cds_start, cds_end
+    and exons in genome order.
+    """
+    minus = F.col("strand") == "-"
+    behind = F.col("seq_start") + F.length("seq") - 1
+    sense = rows.withColumn("_lead", F.when(minus, behind - F.col("cds_end")).otherwise(F.col("cds_start") - F.col("seq_start")))
+    sense = sense.withColumn("seq", F.when(minus, Q.reverse_complement(F.upper("seq"))).otherwise(F.upper("seq"))).withColumn("seq_start", F.col("cds_start") - F.col("_lead"))
+    tiles = window_tiles(sense, block, context, compat)
+    labelled = tiles.join(label_raster(rows, "rec_id"), "rec_id")
+    own = F.rpad(F.col("labels").substr(F.col("tile_start").cast("int") + 1, F.lit(block)), block, "7")
+    return labelled.select("rec_id", "tile_no", Q.base_codes("window").alias("x"), F.transform(F.split(own, ""), lambda c: c.cast("tinyint")).alias("y"))
+
+
 def raster(first: int, last: int, strand: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Label of every base from ``first`` to ``last`` in sense direction; see ``label_raster``."""
     n = last - first + 1

@@ -209,6 +209,19 @@ def r_sample(spark, d):
     return training.sampled(rows, "rec_id", "genome_id", 50, seed=7)
 
 
+def r_datapoints(spark, d):
+    """Windows and labels of all records: how often each code occurs in each window."""
+    rows = read_table(spark, d, "datafile").filter(F.length("seq") > 0).select("rec_id", "seq", "seq_start", "strand", "cds_start", "cds_end", Q.exon_pairs(Q.int_list("jn_end"), Q.int_list("jn_start")).alias("exons")).dropDuplicates(["rec_id"])
+    made = training.datapoints(rows, 5000, 800)
+    times = lambda c, k: F.size(F.filter(c, lambda v: v == k))
+    return made.select("rec_id", "tile_no", *[times("x", k).alias(f"x{k}") for k in range(5)], *[times("y", k).alias(f"y{k}") for k in range(8)])
+
+
+def r_genes_by_file(spark, d):
+    """Records of each file of a datafile."""
+    return read_table(spark, d, "datafile").select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "rec_id").distinct().groupBy("file").agg(F.count(F.lit(1)).alias("records"))
+
+
 _M = """WITH r AS (SELECT DISTINCT rec_id, chrom, strand, cds_start, jn_start, jn_end, seq_start, upper(seq) AS u FROM datafile WHERE length(seq) > 0),
 x AS (SELECT *, list_sort(list_transform(range(1, len(string_split(rtrim(jn_end, ','), ',')) + 1),
   lambda i: {'start': CAST(trim(string_split(rtrim(jn_end, ','), ',')[i]) AS BIGINT) - seq_start, 'end': CAST(trim(string_split(rtrim(jn_start, ','), ',')[i]) AS BIGINT) - seq_start + 1})) AS exons FROM r),
@@ -245,7 +258,7 @@ c AS (SELECT *, list_concat(list_transform(list_filter(string_split(jn_end, ',')
 p AS (SELECT *, lag(call) OVER (PARTITION BY chrom, strand ORDER BY cds_start, rec_id) AS ref FROM c)
 SELECT rec_id, len(list_filter(list_distinct(call), lambda q: NOT list_contains(ref, q))) AS added, len(list_filter(list_distinct(ref), lambda q: NOT list_contains(call, q))) AS removed FROM p WHERE ref IS NOT NULL""",
 }
-ROWS_ONLY = (r_scored_tiles, r_region_end, r_enumerate, r_isoform_select, r_isoform_class, r_opposite_overlaps, r_end_to_end, r_raw_segments, r_sample)
+ROWS_ONLY = (r_scored_tiles, r_region_end, r_enumerate, r_isoform_select, r_isoform_class, r_opposite_overlaps, r_end_to_end, r_raw_segments, r_sample, r_datapoints, r_genes_by_file)
 
 
 def queries():

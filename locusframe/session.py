@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,9 +31,13 @@ def build_session(app: str = "locusframe", master: str | None = None, shuffle_pa
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a temporary one only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="locusframe_ckpt_")
+    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="locusframe_ckpt_")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder
 
 

@@ -29,8 +29,8 @@ def read_splice_table(spark: SparkSession, path: str) -> DataFrame:
     c = F.split("value", "\t")
     col = lambda i: F.get(c, F.lit(i))
     return spark.read.text(path).select(
-        col(0).alias("name"), col(1).cast("int").alias("paralog"), col(2).alias("chrom"), col(3).alias("strand"),
-        col(4).cast("bigint").alias("flank_start"), col(5).cast("bigint").alias("flank_end"),
+        col(0).alias("name"), col(1).try_cast("int").alias("paralog"), col(2).alias("chrom"), col(3).alias("strand"),
+        col(4).try_cast("bigint").alias("flank_start"), col(5).try_cast("bigint").alias("flank_end"),
         Q.int_list(col(6)).alias("exon_ends"), Q.int_list(col(7)).alias("exon_starts"),
         F.when(F.size(c) < 8, "invalid_format").alias("reason"),
     )
@@ -40,7 +40,7 @@ def read_regions(spark: SparkSession, path: str) -> DataFrame:
     """chrom, region_start, region_end, seq of lines ``chrom:start-end <tab> sequence``; names may hold colons and hyphens."""
     head = r"^(.*):(\d+)-(\d+)\t(.*)$"
     part = lambda i: F.regexp_extract("value", head, i)
-    return spark.read.text(path).select(part(1).alias("chrom"), part(2).cast("bigint").alias("region_start"), part(3).cast("bigint").alias("region_end"), part(4).alias("seq"))
+    return spark.read.text(path).select(part(1).alias("chrom"), part(2).try_cast("bigint").alias("region_start"), part(3).try_cast("bigint").alias("region_end"), part(4).alias("seq"))
 
 
 def read_datafiles(spark: SparkSession, *paths: str) -> DataFrame:
