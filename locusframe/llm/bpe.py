@@ -331,16 +331,6 @@ def rank_file(name: str = VOCABULARY, folder: str | None = None) -> str:
     return os.path.join(folder or TOKENIZER_DIR, f"{name}.tiktoken")
 
 
-def spread(df: DataFrame, column: str) -> DataFrame:
-    """``df`` over as many partitions as tasks run at once, if its scan yields fewer.
-
-    A parquet row group is read by one task however many cores wait, so a table of few large row
-    groups is dealt round; scans with enough partitions are left alone.
-    """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want, column) if df.rdd.getNumPartitions() < want else df
-
-
 def encode_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", ids: str = "ids", vocabulary: str = VOCABULARY, folder: str | None = None) -> DataFrame:
     """``key`` and the ids of ``text`` (array<int>) without special tokens, one row for each row of ``docs``.
 

@@ -36,6 +36,11 @@ def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(read_table(spark, sf_dir, "documents"))
 
 
+def p8_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same texts in containers of four permitted sizes, none above 2,048."""
+    return packing.pack_texts(read_table(spark, sf_dir, "documents"), (256, 512, 1024, 2048))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.look_alikes(read_table(spark, sf_dir, "documents"))
 
@@ -45,4 +50,4 @@ def p9_form(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_report, p4_found, p7_ids, p8_pack, p9_found, p9_form)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_report, p4_found, p7_ids, p8_pack, p8_sizes, p9_found, p9_form)}
