@@ -31,7 +31,9 @@ def top_kl(df: DataFrame, score: str, label: str, tie: str, ks: tuple[float, ...
     total = df.count()
     cuts = df.sparkSession.createDataFrame([(float(k), min(int(k * true), total)) for k in ks], "k double, taken bigint")
     r = ranked_scores(df, score, label)
-    at = cuts.crossJoin(r).filter((F.col("seen") >= F.col("taken")) & (F.col("seen") - F.col("n") < F.col("taken")))
+    wanted = F.array(*[F.struct(F.lit(float(k)).alias("k"), F.lit(min(int(k * true), total)).cast("bigint").alias("taken")) for k in ks])
+    holds = F.filter(wanted, lambda c: (F.col("seen") >= c["taken"]) & (F.col("seen") - F.col("n") < c["taken"]))
+    at = r.select("*", F.inline(holds))
     edge = at.select("k", "taken", "s", (F.col("found") - F.col("hits")).alias("above"), (F.col("taken") - F.col("seen") + F.col("n")).alias("want"))
     rows = df.select(F.col(score).alias("s"), F.col(label).alias("_y"), F.col(tie).alias("_tie")).join(F.broadcast(edge), "s")
     tiles = range_tiles(rows, ["k", "_tie"])

@@ -117,10 +117,13 @@ def segments(scores: DataFrame, group: list[str], position: str, value: str, til
     change = (F.lag(value).over(order).isNull() | (F.lag(value).over(order) != F.col(value)) | (F.lag(position).over(order) != F.col(position) - 1)).cast("int")
     runs = rows.withColumn("_r", F.sum(change).over(order)).groupBy(*group, "_b", "_r").agg(F.min(position).alias("s"), (F.max(position) + 1).alias("e"), F.first(value).alias(value))
     runs = runs.filter(F.col(value) != 0)
-    # few rows are left: what touches across block borders is joined over the runs
-    line = Window.partitionBy(*group).orderBy("s")
-    new = (F.coalesce((F.lag("e").over(line) != F.col("s")) | (F.lag(value).over(line) != F.col(value)), F.lit(True))).cast("int")
-    return runs.withColumn("_g", F.sum(new).over(line)).groupBy(*group, "_g").agg(F.min("s").alias("seg_start"), F.max("e").alias("seg_end"), F.first(value).alias(value)).drop("_g")
+    # only runs at block borders can go on: at most two a block meet in the window of their group, each other run is alone
+    border = (F.col("s") == F.col("_b") * block) | (F.col("e") == (F.col("_b") + 1) * block)
+    solo = F.when(~border, F.struct("_b", "_r"))
+    line = Window.partitionBy(*group, solo).orderBy("s")
+    runs = runs.withColumn("_new", F.coalesce((F.lag("e").over(line) != F.col("s")) | (F.lag(value).over(line) != F.col(value)), F.lit(True)).cast("int"))
+    joined = runs.withColumn("_solo", solo).withColumn("_g", F.sum("_new").over(line)).drop("_new")
+    return joined.groupBy(*group, "_solo", "_g").agg(F.min("s").alias("seg_start"), F.max("e").alias("seg_end"), F.first(value).alias(value)).drop("_solo", "_g")
 
 
 def signed_value(a: Column, b: Column, least: float, digits: int = 2) -> Column:

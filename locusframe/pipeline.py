@@ -7,11 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.operators import calling, genes, intervals, isoforms, scorers, threshold, tracks
+from locusframe.operators import annotation, calling, genes, intervals, isoforms, scorers, threshold, tracks, training
 from locusframe.operators.grouped import map_groups
 from locusframe.params import Params, Strand
 from locusframe.session import cut_lineage, write_once
-from locusframe.sources import fasta, sinks
+from locusframe.sources import fasta, sinks, tables
 
 #: A genome of fewer bases takes the fixed threshold.
 DYNAMIC_FROM = 100_000
@@ -94,6 +94,26 @@ def raw_segments(contigs: DataFrame, params: Params, least: float = 0.1, make_sc
     return out
 
 
+def training_run(spark: SparkSession, gff: str, sequences: str, out: str, allowed: str | None = None, threshold: float = 0.9) -> str:
+    """Training records of an annotation and its sequences under ``out``, and the validation report.
+
+    Writes splice_table (lines), datafile (valid records as parquet, with the part each goes to) and gives the
+    report's text.  ``allowed`` is a list of gene names to keep.
+    """
+    rows = tables.read_gff(spark, gff).withColumnsRenamed({"start": "feat_start", "end": "feat_end"})
+    cds = annotation.cds_rows(annotation.parsed(rows))
+    genes_found = annotation.flanked(annotation.gene_extents(cds), annotation.contig_sizes(cds))
+    if allowed:
+        genes_found = genes_found.join(tables.read_allow_list(spark, allowed), "name", "left_semi")
+    contigs = fasta.contigs(fasta.read_sequences(spark, sequences), check=False)
+    sinks.write_splice_table(annotation.splice_lines(genes_found), f"{out}/splice_table")
+    judged = write_once(annotation.training_records(genes_found, contigs, threshold))
+    valid = genes.numbered(judged.filter("reason = 'valid'"), ["chrom", "strand", "name"], out="rec_name")
+    number = F.substring("rec_name", 4, 20).cast("bigint")
+    sinks.write_datafile(valid.withColumn("part", training.part_of(number)).drop("rec_name"), f"{out}/datafile")
+    return sinks.report(judged)
+
+
 def run(spark: SparkSession, params: Params) -> Prediction | None:
     """A command-line run: reads, predicts, writes the files that were asked for."""
     records = fasta.read_sequences(spark, params.sequence)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusframe.functions import attrs as A
+from locusframe.operators import annotation
 from locusframe.operators import intervals as I
 from locusframe.session import read_table
 
@@ -46,9 +47,8 @@ def o_overlap_join(spark, d):
 
 def features(spark, d):
     """Annotation rows once, with their attributes parsed as the training pipeline does."""
-    f = read_table(spark, d, "gff_features").select("feature_id", "genome_id", "seqid", "feature_type", "feat_start", "feat_end", "strand", "attributes").distinct()
-    text = F.col("attributes")
-    return f.withColumn("parsed", A.items(text, F.when(F.col("feature_type") == "region", A.region_separator(text)).otherwise(A.cds_separator(text))))
+    rows = read_table(spark, d, "gff_features").select("feature_id", "genome_id", "seqid", "feature_type", "feat_start", "feat_end", "strand", "attributes")
+    return annotation.parsed(rows.distinct())
 
 
 def o_attr_parse(spark, d):
@@ -62,11 +62,8 @@ def o_id_precedence(spark, d):
 
 
 def cds_rows(spark, d):
-    """CDS rows outside mitochondrial contigs (by ``contigs`` and by region rows), parsed."""
-    f = features(spark, d).filter(F.col("seqid").isNotNull() & F.col("feat_start").isNotNull() & F.col("feat_end").isNotNull() & F.col("strand").isNotNull())
     mito = read_table(spark, d, "contigs").filter("is_mito").select(F.col("contig_id").alias("seqid"))
-    said = f.filter((F.col("feature_type") == "region") & (F.lower(A.value(F.col("parsed"), "genome")) == "mitochondrion")).select("seqid")
-    return f.filter("feature_type = 'CDS'").join(mito.union(said).distinct(), "seqid", "left_anti")
+    return annotation.cds_rows(features(spark, d), mito)
 
 
 def o_anti_contigs(spark, d):
@@ -74,32 +71,23 @@ def o_anti_contigs(spark, d):
 
 
 def o_contig_sizes(spark, d):
-    """Contig size as the furthest CDS end, pseudogenes and malformed rows counted too."""
-    return cds_rows(spark, d).groupBy("seqid").agg(F.max("feat_end").alias("contig_size"))
+    return annotation.contig_sizes(cds_rows(spark, d))
 
 
 def gene_extents(spark, d):
-    """Genes from their CDS rows; the end is that of the last sorted row."""
-    p = F.col("parsed")
-    good = cds_rows(spark, d).filter(F.col("attributes").isNotNull() & ~A.malformed(p) & ~A.is_pseudo(p)).withColumn("name", A.gene_name(p)).filter("name is not null")
-    rows = good.groupBy("seqid", "strand", "name").agg(F.array_sort(F.collect_list(F.struct(F.col("feat_start").alias("start"), F.col("feat_end").alias("end")))).alias("exons"))
-    return rows.withColumn("start", F.element_at("exons", 1)["start"]).withColumn("end", F.element_at("exons", -1)["end"])
+    return annotation.gene_extents(cds_rows(spark, d))
 
 
 def o_gene_extents(spark, d):
     return gene_extents(spark, d).select("seqid", "strand", "name", "start", "end", F.size("exons").alias("n_exons"))
 
 
-def _neighboured(spark, d):
-    return I.neighbours(gene_extents(spark, d), ["seqid", "strand"], "start", "end", "name")
-
-
 def o_neighbour_asof(spark, d):
-    return _neighboured(spark, d).select("seqid", "strand", "name", "start", "end", "upstream", "downstream")
+    return I.neighbours(gene_extents(spark, d), ["seqid", "strand"], "start", "end", "name").select("seqid", "strand", "name", "start", "end", "upstream", "downstream")
 
 
 def flanked(spark, d):
-    return I.flanks(_neighboured(spark, d).join(o_contig_sizes(spark, d), "seqid"))
+    return annotation.flanked(gene_extents(spark, d), o_contig_sizes(spark, d))
 
 
 def o_flanks(spark, d):
@@ -107,10 +95,7 @@ def o_flanks(spark, d):
 
 
 def o_splice_rows(spark, d):
-    """Lines of the splice table: eight columns, comma lists with a trailing comma."""
-    rows = flanked(spark, d).filter(I.enough_flank())
-    text = lambda f: F.concat(F.array_join(F.transform("exons", lambda e: e[f].cast("string")), ","), F.lit(","))
-    return rows.select(F.concat_ws("\t", F.replace("name", F.lit('"'), F.lit("")), F.lit("0"), "seqid", "strand", F.col("flank_start").cast("string"), F.col("flank_end").cast("string"), text("end"), text("start")).alias("line"))
+    return annotation.splice_lines(flanked(spark, d))
 
 
 def o_allow_list(spark, d):

@@ -8,16 +8,24 @@ from pyspark.sql import functions as F
 from locusframe.functions import seq as Q
 
 
+#: Where records of a FASTA file part.
+FASTA_BREAK = "\n>"
+
+
+def fasta_records(raw: DataFrame) -> DataFrame:
+    """contig_ord, contig_id, seq of text rows split at ``FASTA_BREAK``; works on streams too."""
+    body = F.regexp_replace(F.regexp_replace("value", "\r", ""), r"^\s*>", "")
+    head = F.substring_index(body, "\n", 1)
+    seq = F.regexp_replace(body.substr(F.length(head) + 1, F.length(body)), r"\s+", "")
+    return raw.filter(F.trim("value") != "").select(F.monotonically_increasing_id().alias("contig_ord"), F.regexp_extract(head, r"^(\S*)", 1).alias("contig_id"), seq.alias("seq"))
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """contig_ord, contig_id, seq (as written, lines joined) of every record, in the order of the file.
 
-    Records are split by Spark's text source at their ``>``; a record is one row.
+    Records are split by Spark's text source where a line begins with ``>``; a record is one row.
     """
-    raw = spark.read.option("lineSep", ">").text(path).filter(F.trim("value") != "")
-    body = F.regexp_replace("value", "\r", "")
-    head = F.substring_index(body, "\n", 1)
-    seq = F.regexp_replace(body.substr(F.length(head) + 1, F.length(body)), r"\s+", "")
-    return raw.select(F.monotonically_increasing_id().alias("contig_ord"), F.regexp_extract(head, r"^(\S*)", 1).alias("contig_id"), seq.alias("seq"))
+    return fasta_records(spark.read.option("lineSep", FASTA_BREAK).text(path))
 
 
 def read_flat(spark: SparkSession, path: str, kind: str) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from locusframe import pipeline
 from locusframe.params import Params
+from locusframe.sources import fasta
 
 
 def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, params: Params, make_scorer: Callable | None = None, once: bool = True) -> StreamingQuery:
@@ -16,15 +17,10 @@ def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, params: P
 
     Each micro-batch is written under its own number, so that a repeated batch replaces itself.
     """
-    from locusframe import pipeline
-    from locusframe.sources import fasta
-
-    stream = spark.readStream.option("lineSep", ">").schema("value string").text(folder)
+    stream = spark.readStream.option("lineSep", fasta.FASTA_BREAK).schema("value string").text(folder)
 
     def each(batch: DataFrame, number: int) -> None:
-        body = F.regexp_replace("value", "\r", "")
-        head = F.substring_index(body, "\n", 1)
-        rows = batch.filter(F.trim("value") != "").select(F.monotonically_increasing_id().alias("contig_ord"), F.regexp_extract(head, r"^(\S*)", 1).alias("contig_id"), F.regexp_replace(body.substr(F.length(head) + 1, F.length(body)), r"\s+", "").alias("seq"))
+        rows = fasta.fasta_records(batch)
         if rows.limit(1).count():
             found = pipeline.predict(fasta.contigs(rows), params, make_scorer)
             found.genes.write.mode("overwrite").parquet(f"{out}/batch={number}")

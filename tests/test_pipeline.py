@@ -22,7 +22,7 @@ def write_fasta(path, records):
 
 def test_fasta_cases(spark, tmp_path):
     path = tmp_path / "x.fa"
-    path.write_bytes(b">a one\r\nacgtr\r\nnn\r\n>b\nAC\nGT\n>a again\nTTT\n")
+    path.write_bytes(b">a one -> two\r\nacgtr\r\nnn\r\n>b\nAC\nGT\n>a again\nTTT\n")
     got = {r.contig_id: r.seq for r in fasta.contigs(fasta.read_fasta(spark, str(path))).collect()}
     assert got == {"a": "TTT", "b": "ACGT"}
     assert fasta.genome_bases(fasta.read_fasta(spark, str(path))) == 14
@@ -152,3 +152,36 @@ def test_written_tables_lie_in_the_shared_folder(spark):
 
     assert checkpoint_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     assert write_once(spark.range(5)).inputFiles()[0].split("file:")[-1].lstrip("/").startswith(checkpoint_folder(spark).lstrip("/"))
+
+
+def test_training_run(spark, tmp_path):
+    rng = random.Random(9)
+    body = lambda n: "".join(rng.choice(["GCA", "CTC", "GGT", "ACC"]) for _ in range(n))
+    back = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    good, no_stop, minus = "ATG" + body(30) + "TAA", "ATG" + body(30), back("ATG" + body(20) + "TGA")
+    parts = [body(400), good, body(400), no_stop, "TAG" + body(400), minus, body(500)]
+    write_fasta(tmp_path / "g.fa", [("c1", "".join(parts))])
+    at = [1 + sum(map(len, parts[:i])) for i in range(len(parts))]
+    row = lambda i, strand, text, end=None: f"c1\ts\tCDS\t{at[i]}\t{end or at[i] + len(parts[i]) - 1}\t.\t{strand}\t0\t{text}"
+    lines = [row(1, "+", "ID=cds-g1;Parent=x"), row(3, "+", "ID=cds-g2;Parent=x"), row(5, "-", 'gene_id "g3"'), row(1, "+", "ID=cds-p;Parent=x;pseudo=true"), row(6, "+", "ID=cds-far;Parent=x;", at[6] + 1400)]
+    lines += ["m\ts\tregion\t1\t9\t.\t+\t.\tgenome=Mitochondrion", "m\ts\tCDS\t1\t9\t.\t+\t0\tID=cds-m;Parent=x"]
+    (tmp_path / "a.gff").write_text("##gff-version 3\n" + "\n".join(lines) + "\n")
+    text = pipeline.training_run(spark, str(tmp_path / "a.gff"), str(tmp_path / "g.fa"), str(tmp_path / "out"), threshold=0.4)
+    rows = {r.name: r for r in spark.read.parquet(str(tmp_path / "out" / "datafile")).collect()}
+    assert set(rows) == {"g1", "g2", "g3"} and rows["g2"].extended and not rows["g1"].extended
+    assert rows["g2"].exons[-1].end == at[3] + len(no_stop) + 2
+    assert "valid\t3" in text and {r.part for r in rows.values()} <= {"train", "test"}
+    assert spark.read.text(str(tmp_path / "out" / "splice_table")).count() >= 3
+
+
+def test_command_line(tmp_path, spark):
+    from locusframe import cli
+
+    write_fasta(tmp_path / "x.fa", genome(3, 2))
+    assert cli.main([str(tmp_path / "nothing.fa")]) == 2
+    assert cli.main([str(tmp_path / "x.fa"), "-p", str(tmp_path / "p.fa"), "--min-gene-score", "0.3", "--gene-candidates", "50", "--cds-start-min-score", "0.5", "--cds-end-min-score", "0.5", "--exon-start-min-score", "0.3", "--exon-end-min-score", "0.3"]) == 0
+    assert list((tmp_path / "x.gff3").glob("part-*")) and list((tmp_path / "p.fa").glob("part-*"))
+    assert (tmp_path / "x.gff3.log").read_text().startswith("[run]")
+    assert cli.main([str(tmp_path / "x.fa"), "--write-raw-scores", "-o", str(tmp_path / "y.gff3")]) == 0
+    head = sorted((tmp_path / "y.gff3.seg").glob("part-*"))[0].read_text().splitlines()
+    assert head[0].startswith("#track") and len(head[1].split("\t")) == 5
