@@ -1,6 +1,7 @@
 """Records of one split that occur, exactly or almost, in records of another one.
 
-A segment join under edit distance: evaluation strings are cut into segments, training strings are
+The pairs come from ``blocks``, which misses none.  Here is besides, for those who ask for it by
+``frequent``, a segment join under edit distance: evaluation strings are cut into segments, training strings are
 searched for them at every position, and pairs with enough segments at fitting positions are verified
 by a banded dynamic program.  With k allowed edits, k + 1 segments would guarantee one that is
 untouched; at k = a tenth of the string that is segments of ten letters, each of which stands by
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusframe.llm.blocks import all_links
 from locusframe.session import cut_lineage, write_once
 
 SEED = 14
@@ -310,8 +312,10 @@ def split_rows(df: DataFrame, key: str, text: str, split: str, held_out: tuple[s
     return rows.select("key", F.xxhash64("s", F.length("s")).alias("c"), "s", F.length("s").alias("n"), "held_out")
 
 
-def class_links(rows: DataFrame, members: DataFrame, frequent: int = FREQUENT, exhaustive: bool = False) -> DataFrame:
+def class_links(rows: DataFrame, members: DataFrame, frequent: int | None = None, exhaustive: bool = False) -> DataFrame:
     """Verified pairs of classes (a held out, b of training) with different strings."""
+    if frequent is None and not exhaustive:
+        return all_links(rows)
     if exhaustive:
         return verified(rows, candidates(rows, PIGEON_SEED, 1, 1 << 62, exhaustive=True))
     found = candidates(rows, SEED, 2, frequent)
@@ -332,16 +336,17 @@ def verified(rows: DataFrame, found: DataFrame) -> DataFrame:
     return both.select("a", "b", "same", "d_lo", "d_hi", "sa", "sb").repartition(4 * parts).mapInArrow(_verify, "a bigint, b bigint").distinct()
 
 
-def cross_split_pairs(df: DataFrame, key: str = "rec_id", text: str = "seq", split: str = "mode", held_out: tuple[str, ...] = ("test", "val"), training: str = "train", frequent: int = FREQUENT, exhaustive: bool = False) -> DataFrame:
+def cross_split_pairs(df: DataFrame, key: str = "rec_id", text: str = "seq", split: str = "mode", held_out: tuple[str, ...] = ("test", "val"), training: str = "train", frequent: int | None = None, exhaustive: bool = False) -> DataFrame:
     """Pairs (key_a < key_b) of a held-out and a training record, one of which holds the other almost.
 
     Letter case is ignored, U is T, either record may be reverse-complemented; N is a letter like the
     others.  The shorter string is at least half as long as the longer and matches a stretch of it with
     at most a tenth of its letters edited.  Split names are read without regard to case and outer
     spaces; null and other splits, null and empty strings, and null keys are in no pair.  Repeated rows
-    count once; an empty table gives no rows; other columns aren't read.  ``exhaustive`` takes segments
-    so short that by the pigeonhole principle no pair of strings from 180 letters on is missed, at a
-    cost that grows as the square of the table.
+    count once; an empty table gives no rows; other columns aren't read.  No pair is missed, at a cost
+    that grows as the square of the table (see ``blocks``).  With ``frequent`` the segment join is taken,
+    which grows with the table but loses pairs (see ``candidates``); with ``exhaustive`` its segments are
+    so short that it misses no pair of strings from 180 letters on.
     """
     rows = split_rows(df, key, text, split, held_out, training)
     members = write_once(rows.select("c", "key", "n", "held_out").distinct())

@@ -217,3 +217,25 @@ def test_frequent_segments_of_rich_strings_count(spark):
     df = spark.createDataFrame(rows, "rec_id bigint, seq string, mode string")
     assert overlap.cross_split_pairs(df, frequent=2).count() == 36
     assert overlap.cross_split_pairs(df.limit(0)).count() == 0
+
+
+def found_without_spark(a, b):
+    from locusframe.llm import blocks
+
+    return blocks.block_pairs(list(range(len(a))), [s.encode() for s in a], list(range(len(b))), [s.encode() for s in b])
+
+
+def letters(rng, n):
+    return "".join(rng.choice("ACGT") for _ in range(n))
+
+
+@pytest.mark.parametrize("n", [6000, 8000, 20_000, 60_000])
+def test_edits_at_one_end(spark, n):
+    rng = random.Random(n)
+    s, k = letters(rng, n), n // 10
+    hang = letters(rng, k)
+    near = [hang + s[k:], s[:-k] + hang, hang + s[: n - k]]
+    rows = [(0, s, "train")] + [(i, t, "test") for i, t in enumerate(near, 1)]
+    rows.append((9, overlap.reverse_complement(near[0].encode()).decode(), "val"))
+    df = spark.createDataFrame(rows, "rec_id bigint, seq string, mode string")
+    assert sorted(tuple(r) for r in overlap.cross_split_pairs(df).collect()) == [(0, i) for i in (1, 2, 3, 9)]
