@@ -239,3 +239,12 @@ def test_edits_at_one_end(spark, n):
     rows.append((9, overlap.reverse_complement(near[0].encode()).decode(), "val"))
     df = spark.createDataFrame(rows, "rec_id bigint, seq string, mode string")
     assert sorted(tuple(r) for r in overlap.cross_split_pairs(df).collect()) == [(0, i) for i in (1, 2, 3, 9)]
+
+
+def test_many_variants_of_one_gene():
+    rng = random.Random(12)
+    s = letters(rng, 400)
+    swap = lambda t, at: "".join("CGTA"["ACGT".index(c)] if i in at else c for i, c in enumerate(t))
+    variants = [swap(s, set(rng.sample(range(400), 4))) for _ in range(300)]
+    copy = swap(s, set(range(3, 400, 13)))
+    assert len(found_without_spark([copy], variants)) == 300
