@@ -248,3 +248,11 @@ def test_many_variants_of_one_gene():
     variants = [swap(s, set(rng.sample(range(400), 4))) for _ in range(300)]
     copy = swap(s, set(range(3, 400, 13)))
     assert len(found_without_spark([copy], variants)) == 300
+
+
+def test_even_edits_repeats_and_other_letters():
+    rng = random.Random(13)
+    turn = lambda t, step: "".join("CGTAN"["ACGTN".index(c)] if i % step == step - 1 else c for i, c in enumerate(t))
+    even, tandem, dull = letters(rng, 1000), letters(rng, 171) * 175, "N" * 500 + letters(rng, 90) + "RYN" * 100
+    copies = [turn(even, 10), tandem[:9000] + letters(rng, 40) + tandem[9000:], dull[:520] + "AC" + dull[523:]]
+    assert found_without_spark(copies, [even, tandem, dull]) == {(0, 0), (1, 1), (2, 2)}
