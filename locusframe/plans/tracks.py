@@ -116,7 +116,7 @@ def o_call_diff(spark, d):
     return rows.select("rec_id", F.size(F.array_except("call", "ref")).alias("added"), F.size(F.array_except("ref", "call")).alias("removed"))
 
 
-PARAMS = Params(cds_start_min_score=0.5, cds_end_min_score=0.5, exon_start_min_score=0.3, exon_end_min_score=0.3, gene_candidates=200, frame_max_ops=2_000, region_max_ops=4_000)
+PARAMS = Params()
 
 
 def _contigs(spark, d):
