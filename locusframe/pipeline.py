@@ -15,6 +15,8 @@ from locusframe.sources import fasta, sinks, tables
 
 #: A genome of fewer bases takes the fixed threshold.
 DYNAMIC_FROM = 100_000
+#: Least size of a score in raw segments, by track.
+SEGMENT_LEAST = {"cds": 0.01, "exon": 0.01, "inside": 0.2}
 
 
 @dataclass
@@ -77,8 +79,12 @@ def predict(contigs: DataFrame, params: Params, make_scorer=None) -> Prediction:
     return Prediction(contigs, made.join(named.drop("contig_ord", "n_transcripts"), gene), named, mean, least)
 
 
-def raw_segments(contigs: DataFrame, params: Params, least: float = 0.1, make_scorer=None) -> DataFrame:
-    """track, contig_id, seg_start, seg_end, value: runs of rounded signed scores of three track pairs, in forward coordinates."""
+def raw_segments(contigs: DataFrame, params: Params, least: dict[str, float] | None = None, make_scorer=None) -> DataFrame:
+    """track, contig_id, seg_start, seg_end, value: runs of rounded signed scores of three track pairs, in forward coordinates.
+
+    Scores below the ``least`` of their pair (SEGMENT_LEAST) count as zero.
+    """
+    least = SEGMENT_LEAST if least is None else least
     scored = score_tracks(contigs, params, make_scorer).join(contigs.select("contig_id", "length"), "contig_id")
     pairs = {"cds": (4, 5), "exon": (2, 3), "inside": (6, 7)}
     out = None
@@ -87,7 +93,7 @@ def raw_segments(contigs: DataFrame, params: Params, least: float = 0.1, make_sc
         rows = scored.select("contig_id", "strand", "tile_start", "length", F.posexplode(zipped))
         at = F.col("tile_start") + F.col("pos")
         place = F.when(F.col("strand") == 1, at).otherwise(F.col("length") - 1 - at)
-        value = tracks.signed_value(F.col("col.a").cast("double"), F.col("col.b").cast("double"), least)
+        value = tracks.signed_value(F.col("col.a").cast("double"), F.col("col.b").cast("double"), least[name])
         named = rows.select(F.concat(F.lit(name), F.when(F.col("strand") == 1, "+").otherwise("-")).alias("track"), "contig_id", place.alias("pos"), value.alias("value"))
         runs = tracks.segments(named, ["track", "contig_id"], "pos", "value")
         out = runs if out is None else out.unionByName(runs)

@@ -200,7 +200,7 @@ def r_end_to_end(spark, d):
 
 
 def r_raw_segments(spark, d):
-    return pipeline.raw_segments(write_once(_contigs(spark, d)), PARAMS, least=0.5)
+    return pipeline.raw_segments(write_once(_contigs(spark, d)), PARAMS)
 
 
 def r_sample(spark, d):

@@ -1,6 +1,24 @@
+import numpy as np
+
+from locusframe import pipeline
 from locusframe.params import Params
 from locusframe.plans import tracks
 
 
 def test_prediction_queries_take_production_parameters():
     assert tracks.PARAMS == Params()
+
+
+def test_raw_segments_keep_faint_scores(spark):
+    def scorer():
+        def score(padded):
+            p = np.zeros((7, len(padded)), np.float32)
+            p[1], p[3], p[5] = 0.05, 0.05, 0.15
+            p[5, : len(padded) // 2] = 0.25
+            return p
+
+        return score
+
+    df = spark.createDataFrame([(1, "c", "ACGT" * 10, 40)], "contig_ord bigint, contig_id string, seq string, length int")
+    got = {(r.track, r.value) for r in pipeline.raw_segments(df, Params(), make_scorer=scorer).collect()}
+    assert got == {(t + s, v) for t, v in (("cds", 0.05), ("exon", 0.05), ("inside", 0.25)) for s in "+-"}
