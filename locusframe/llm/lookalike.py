@@ -30,6 +30,15 @@ ARMENIAN_AS = "ounhgj"
 OTHER_LETTERS = "ӀӏԌɑɡıℓⅼⅽⅾⅿⅰⅴⅹⅠⅤⅩⅬⅭⅮⅯ"
 OTHER_LETTERS_AS = "IlGagillcdmivxIVXLCDM"
 
+MORE_CYRILLIC, MORE_CYRILLIC_AS = "\u04af\u0475\u0474\u051a\u051c", "yvVQW"
+MORE_GREEK, MORE_GREEK_AS = "\u03b1\u03b3\u03b9\u03c1\u03c3\u03c5\u03f2\u03f9\u037f", "ayipoucCJ"
+CHEROKEE = "ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᎽᏀᏂᏃᏏᏒᏔᏕᏙᏚᏞᏟᏢᏦᏧᏳᏴ"
+CHEROKEE_AS = "DRTiAJEWMHYGhZbRWSVSLCPKdGB"
+LISU = "ꓐꓑꓒꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ"
+LISU_AS = "BPdDTGKJCZFMNLSRVHWXYAEIOU"
+COPTIC = "ⲂⲎⲒⲔⲘⲚⲞⲟⲢⲣⲤⲥⲦⲨⲬ"
+COPTIC_AS = "BHIKMNOoPpCcTYX"
+
 # Characters that show nothing beside those of the category Cf.
 BLANKS = [0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180F, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)]
 
@@ -48,6 +57,7 @@ def invisible() -> dict[int, None]:
 def prototypes() -> dict[int, str]:
     """Translation of decomposed text to prototypes: widths, ligatures, spaces, letters of other scripts."""
     table: dict[int, str] = {}
+    font: dict[int, str] = {}
     for cp in range(0x80, sys.maxunicode + 1):
         ch = chr(cp)
         kind, _, rest = unicodedata.decomposition(ch).partition(" ")
@@ -57,9 +67,13 @@ def prototypes() -> dict[int, str]:
             table[cp] = unicodedata.normalize("NFKD", ch)
         elif kind == "<compat>" and " " in rest and unicodedata.category(ch)[0] == "L" and ("LIGATURE" in (name := unicodedata.name(ch)) or "DIGRAPH" in name or "WITH SMALL LETTER" in name):
             table[cp] = unicodedata.normalize("NFKD", ch)
-    for own, like in ((CYRILLIC, CYRILLIC_AS), (GREEK, GREEK_AS), (ARMENIAN, ARMENIAN_AS), (OTHER_LETTERS, OTHER_LETTERS_AS)):
+        elif kind == "<font>" and unicodedata.category(ch)[0] == "L":
+            font[cp] = unicodedata.normalize("NFKD", ch)
+    pairs = ((CYRILLIC, CYRILLIC_AS), (GREEK, GREEK_AS), (ARMENIAN, ARMENIAN_AS), (OTHER_LETTERS, OTHER_LETTERS_AS), (MORE_CYRILLIC, MORE_CYRILLIC_AS), (MORE_GREEK, MORE_GREEK_AS))
+    for own, like in (*pairs, (CHEROKEE, CHEROKEE_AS), (LISU, LISU_AS), (COPTIC, COPTIC_AS)):
         table.update(zip(map(ord, own), like, strict=True))
-    return table
+    # letters of a mathematical alphabet look like what the ordinary letter looks like
+    return {cp: ch.translate(table) for cp, ch in font.items()} | table
 
 
 def _worked(part: str) -> str:
