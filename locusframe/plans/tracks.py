@@ -120,8 +120,8 @@ PARAMS = Params()
 
 
 def _contigs(spark, d):
-    rows = _records(spark, d).filter(~F.contains(F.upper("seq"), F.lit("U")))
-    seq = Q.clean("seq")
+    rows = _records(spark, d)
+    seq = F.translate(Q.clean("seq"), "U", "T")
     return rows.select(F.col("rec_id").alias("contig_ord"), F.col("rec_id").cast("string").alias("contig_id"), seq.alias("seq"), F.length("seq").alias("length"))
 
 

@@ -22,3 +22,9 @@ def test_raw_segments_keep_faint_scores(spark):
     df = spark.createDataFrame([(1, "c", "ACGT" * 10, 40)], "contig_ord bigint, contig_id string, seq string, length int")
     got = {(r.track, r.value) for r in pipeline.raw_segments(df, Params(), make_scorer=scorer).collect()}
     assert got == {(t + s, v) for t, v in (("cds", 0.05), ("exon", 0.05), ("inside", 0.25)) for s in "+-"}
+
+
+def test_records_with_u_are_contigs(spark, tmp_path):
+    rows = [(1, "ACGU", 0, "+", "", ""), (2, "acgunr", 0, "+", "", ""), (3, "ACGT", 0, "+", "", "")]
+    spark.createDataFrame(rows, "rec_id bigint, seq string, seq_start bigint, strand string, jn_start string, jn_end string").write.parquet(str(tmp_path / "datafile.parquet"))
+    assert {r.contig_ord: r.seq for r in tracks._contigs(spark, str(tmp_path)).collect()} == {1: "ACGT", 2: "ACGTNN", 3: "ACGT"}
