@@ -2,9 +2,9 @@
 
 Of a string of n letters, cut into n // 9 segments, k = n // 10 edits touch at most k: at least n // 9 - k
 segments occur untouched in the other string, however the edits lie.  All pairs are counted by that (numpy,
-an index of nine-letter words for each block), what is left by a second lower bound over short stretches,
-what is left then by the dynamic program.  No bound drops a true pair.  Work grows as the product of the
-two sides, which no method without loss at a tenth of edits avoids; it is spread over blocks of limited size.
+an index of nine-letter words for each block; long strings chunk by chunk), what is left by two further lower
+bounds over shorter segments, what is left then by the dynamic program.  No bound drops a true pair.  Work
+grows as the product of the two sides; it is spread over blocks of limited size.
 """
 
 from __future__ import annotations
@@ -18,9 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD, FINE = 9, 6
-#: Strings from LONG letters on share many short segments with any other by chance: longer ones are tried first.
-COARSE, LONG = 8, 4096
+WORD, FINE, COARSE = 9, 6, 8
+#: Strings from LONG letters on share many words with any other by chance: their words are counted chunk by chunk.
+#: Chunks have CHUNK to CHUNK * 5 / 4 letters, windows of the searched string overlap by the most that a chunk can match.
+LONG, CHUNK = 4096, 1024
+OVERLAP = CHUNK * 5 // 4 * 11 // 10
+#: Ranges of lengths in an octave.
+RANGES = 8
 #: Short segments of one stretch, and width of half a window of diagonals.
 GROUP = 16
 #: Letters of a block, counters of a batch, letters and matches looked at together.
@@ -28,33 +32,70 @@ BLOCK, COUNTERS, LETTERS, MATCHES = 8_000_000, 400_000, 300_000, 20_000_000
 
 
 class Longs:
-    """Strings to be searched, with the classes that hold each word and the short words of all positions."""
+    """Strings to be searched, with the strings that hold each word and the short words of all positions."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], indexed: bool = True, listed: bool = True):
         from locusframe.llm.overlap import _grams
 
-        self.texts = texts
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.begin = np.concatenate([[0], np.cumsum(self.sizes[:-1] + 1)])
         whole = b"\x00".join(texts)
         m = len(texts)
-        row = np.repeat(np.arange(m), self.sizes + 1)[: len(whole)]
+        self.short = {FINE: _grams(whole, FINE), COARSE: None if indexed else _grams(whole, COARSE)}
+        if not indexed:
+            return
+        row = np.repeat(np.arange(m, dtype=np.int32), self.sizes + 1)[: len(whole)]
+        left = np.repeat(self.begin + self.sizes, self.sizes + 1)[: len(whole)] - np.arange(len(whole))  # letters to the end
         key = _grams(whole, WORD)
-        row = row[: len(key)]
-        inside = np.arange(len(key)) - self.begin[row] + WORD <= self.sizes[row]
-        held = np.sort(key[inside].astype(np.int64) * m + row[inside])
+        inside = left[: len(key)] >= WORD
+        held = np.sort(key[inside].astype(np.int64) * m + row[: len(key)][inside])
         held = held[np.concatenate([[True], held[1:] != held[:-1]])] if len(held) else held
         self.start = np.searchsorted(held, np.arange(4**WORD + 1) * m)
         self.holder = (held % m).astype(np.int32)
-        self.short = {FINE: _grams(whole, FINE).astype(np.uint16), COARSE: _grams(whole, COARSE).astype(np.uint16) if self.sizes.max() >= LONG else None}
+        if not listed:
+            return
+        # which short words a string holds at all, a bit for each
+        self.q = 6 if self.sizes.max() < 1000 else 7 if self.sizes.max() < 4000 else 8
+        word = self.short[FINE] if self.q == 6 else _grams(whole, self.q)
+        self.holds = np.empty((m, 4**self.q // 8), np.uint8)
+        for first in range(0, m, 64):
+            last = min(m, first + 64)
+            low, high = int(self.begin[first]), min(len(word), int(self.begin[last - 1] + self.sizes[last - 1]))
+            some = np.flatnonzero(left[low:high] >= self.q) + low
+            there = np.zeros((last - first, 4**self.q), bool)
+            there[row[some] - first, word[some]] = True
+            self.holds[first:last] = np.packbits(there, axis=1, bitorder="little")
+
+
+class Cut:
+    """Strings cut into whole segments side by side from the first letter on, for every length of segments asked."""
+
+    def __init__(self, texts: list[bytes]):
+        from locusframe.llm.overlap import _CODE
+
+        self.code = _CODE[np.frombuffer(b"".join(texts), np.uint8)] & 3
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        self.made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
+    def _keys(self, q: int) -> tuple[np.ndarray, np.ndarray]:
+        if q not in self.made:
+            parts = self.sizes // q
+            at = (np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)) * q + np.repeat(self.begin, parts)
+            key = np.zeros(len(at), np.int32)
+            for i in range(q):
+                key = key << 2 | self.code[at + i]
+            self.made[q] = key, np.concatenate([[0], np.cumsum(parts)])
+        return self.made[q]
 
-def _cut(s: bytes, q: int) -> np.ndarray:
-    """The keys of the whole segments of ``q`` letters, side by side from the first letter on."""
-    from locusframe.llm.overlap import _CODE
+    def of(self, i: int, q: int) -> np.ndarray:
+        key, end = self._keys(q)
+        return key[end[i] : end[i + 1]]
 
-    parts = len(s) // q
-    return (_CODE[np.frombuffer(s, np.uint8, parts * q)] & 3).reshape(parts, q) @ (4 ** np.arange(q - 1, -1, -1))
+    def between(self, first: int, last: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of the strings from ``first`` to before ``last``, and how many each has."""
+        key, end = self._keys(q)
+        return key[end[first] : end[last]], np.diff(end[first : last + 1])
 
 
 def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -63,36 +104,30 @@ def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start - before, count) + np.arange(int(count.sum()))
 
 
-def enough_words(shorts: list[bytes], longs: Longs) -> Iterator[tuple[int, np.ndarray]]:
-    """Of each string: the searched strings of fitting length that hold at least n // 9 - n // 10 of its words."""
-    m = len(longs.texts)
-    step = max(1, COUNTERS // m)
-    for first in range(0, len(shorts), step):
-        some = shorts[first : first + step]
-        words = [_cut(t, WORD) for t in some]
-        sizes = np.array([len(t) for t in some])
-        key, own = np.concatenate(words), np.repeat(np.arange(len(some)), [len(w) for w in words])
-        start, count = longs.start[key], longs.start[key + 1] - longs.start[key]
-        shared = np.bincount(np.repeat(own * m, count) + longs.holder[_ranges(start, count)], minlength=len(some) * m).reshape(len(some), m)
-        i, j = np.divmod(np.flatnonzero((shared >= (sizes // WORD - sizes // 10)[:, None]).ravel()), m)
-        fit = (longs.sizes[j] >= sizes[i]) & (longs.sizes[j] <= 2 * sizes[i])
-        i, j = i[fit], j[fit]
-        at = np.searchsorted(i, np.arange(len(some) + 1))
-        for x in np.flatnonzero(np.diff(at)):
-            yield first + int(x), j[at[x] : at[x + 1]]
+def shared_words(cut: Cut, longs: Longs, first: int, last: int) -> np.ndarray:
+    """How many words each string from ``first`` to before ``last`` shares with each searched string, as a matrix."""
+    m = len(longs.sizes)
+    key, words = cut.between(first, last, WORD)
+    start, count = longs.start[key], longs.start[key + 1] - longs.start[key]
+    own = np.repeat(np.arange(last - first) * m, words)
+    return np.bincount(np.repeat(own, count) + longs.holder[_ranges(start, count)], minlength=(last - first) * m).reshape(last - first, m)
+
+
+def missing(own: np.ndarray, longs: Longs, which: np.ndarray) -> np.ndarray:
+    """How many of the segments ``own`` (of ``longs.q`` letters) each of the searched strings ``which`` holds nowhere: each has an edit."""
+    byte, bit = own >> 3, (own & 7).astype(np.uint8)
+    return len(own) - (longs.holds[which[:, None], byte] >> bit & 1).sum(axis=1, dtype=np.int64)
 
 
-def least_edits(s: bytes, longs: Longs, which: np.ndarray, q: int = FINE) -> np.ndarray:
-    """Lower bounds, by segments of ``q`` letters, of the edits between ``s`` and any stretch of each of the searched strings ``which``.
+def least_edits(own: np.ndarray, n: int, longs: Longs, which: np.ndarray, q: int = FINE) -> np.ndarray:
+    """Lower bounds, by its segments ``own`` of ``q`` letters, of the edits between a string of ``n`` letters and any stretch of each of ``which``.
 
     Every edit lies in one stretch of GROUP segments at most.  With e <= GROUP edits in a stretch its
     untouched segments lie on diagonals at most e apart, so one window of twice GROUP diagonals has them all:
     e is at least the segments of the stretch less those in its best window.
     """
-    n = len(s)
     k, parts = n // 10, n // q
     stretches = -(-parts // GROUP)
-    own = _cut(s, q)
     order = np.argsort(own, kind="stable")
     degree = np.bincount(own, minlength=4**q)
     begin = np.cumsum(degree) - degree
@@ -124,42 +159,95 @@ def least_edits(s: bytes, longs: Longs, which: np.ndarray, q: int = FINE) -> np.
     return np.maximum(0, held - best.reshape(len(which), stretches)).sum(axis=1)
 
 
-def occurrences(shorts: list[bytes], longs: Longs) -> Iterator[tuple[int, int]]:
+def bounded(cut: Cut, i: int, longs: Longs, found: np.ndarray, q: int) -> np.ndarray:
+    """Those of ``found`` that the bound by segments of ``q`` letters doesn't tell from an occurrence of the string ``i``."""
+    n = int(cut.sizes[i])
+    group = np.cumsum(longs.sizes[found]) // LETTERS
+    some = [found[group == g] for g in np.unique(group)]
+    return np.concatenate([w[least_edits(cut.of(i, q), n, longs, w, q) <= n // 10] for w in some]) if some else found
+
+
+def short_candidates(shorts: list[bytes], texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Pairs that share at least n // 9 - n // 10 words, as every occurrence does, and pass the further bounds."""
+    cut, longs = Cut(shorts), Longs(texts)
+    m = len(texts)
+    step = max(1, COUNTERS // m)
+    for first in range(0, len(shorts), step):
+        sizes = cut.sizes[first : first + step]
+        shared = shared_words(cut, longs, first, first + len(sizes))
+        i, j = np.divmod(np.flatnonzero((shared >= (sizes // WORD - sizes // 10)[:, None]).ravel()), m)
+        fit = (longs.sizes[j] >= sizes[i]) & (longs.sizes[j] <= 2 * sizes[i])
+        i, j = i[fit], j[fit]
+        at = np.searchsorted(i, np.arange(len(sizes) + 1))
+        for x in np.flatnonzero(np.diff(at)):
+            own, found = first + int(x), j[at[x] : at[x + 1]]
+            found = found[missing(cut.of(own, longs.q), longs, found) <= sizes[x] // 10]
+            for y in bounded(cut, own, longs, found, FINE) if sizes[x] >= FINE else found:
+                yield own, int(y)
+
+
+def long_candidates(shorts: list[bytes], texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """The same for long strings, whose words are counted chunk by chunk.
+
+    A chunk that occurs in a stretch of the searched string lies in one of its windows; it has at least as many
+    edits as words that its best window lacks, and the string at least the sum over its chunks.
+    """
+    chunks, ends = [], [0]
+    for s in shorts:
+        at = np.linspace(0, len(s), len(s) // CHUNK + 1).astype(int).tolist()
+        chunks += [s[x:y] for x, y in zip(at, at[1:])]
+        ends.append(len(chunks))
+    windows, owner = [], [0]
+    for t in texts:
+        windows += [t[x : x + 2 * OVERLAP] for x in range(0, max(1, len(t) - OVERLAP), OVERLAP)]
+        owner.append(len(windows))
+    parts, places = Cut(chunks), Longs(windows, listed=False)
+    whole, longs = Cut(shorts), Longs(texts, indexed=False)
+    words = parts.sizes // WORD
+    step = max(1, 2 * COUNTERS // len(windows))
+    for i, n in enumerate(whole.sizes.tolist()):
+        lacking = np.zeros(len(texts), np.int64)
+        for first in range(ends[i], ends[i + 1], step):
+            last = min(ends[i + 1], first + step)
+            best = np.maximum.reduceat(shared_words(parts, places, first, last), owner[:-1], axis=1)
+            lacking += np.maximum(0, words[first:last, None] - best).sum(axis=0)
+        found = np.flatnonzero((lacking <= n // 10) & (longs.sizes >= n) & (longs.sizes <= 2 * n))
+        for q in (COARSE, FINE):
+            found = bounded(whole, i, longs, found, q)
+        for j in found:
+            yield i, int(j)
+
+
+def occurrences(shorts: list[bytes], texts: list[bytes]) -> Iterator[tuple[int, int]]:
     """All (i, j): the string i matches a stretch of the string j, at most twice as long, with a tenth of i's letters edited."""
     from locusframe.llm.overlap import infix_distance
 
-    for i, found in enough_words(shorts, longs):
-        s = shorts[i]
-        k = len(s) // 10
-        group = np.cumsum(longs.sizes[found]) // LETTERS
-        for g in np.unique(group):
-            which = found[group == g]
-            if len(s) >= LONG:
-                which = which[least_edits(s, longs, which, COARSE) <= k]
-            if len(s) >= FINE and len(which):
-                which = which[least_edits(s, longs, which) <= k]
-            for j in which:
-                t = longs.texts[j]
-                if s in t or infix_distance(s, t, k, 0, len(t) - len(s)) <= k:
-                    yield i, int(j)
-
-
-def block_pairs(names_a: list[int], a: list[bytes], names_b: list[int], b: list[bytes]) -> set[tuple[int, int]]:
+    for chosen, find in ((lambda n: n < LONG, short_candidates), (lambda n: n >= LONG, long_candidates)):
+        rows = [i for i, s in enumerate(shorts) if chosen(len(s))]
+        if not rows:
+            continue
+        least, most = min(len(shorts[i]) for i in rows), max(len(shorts[i]) for i in rows)
+        columns = [j for j, t in enumerate(texts) if least <= len(t) <= 2 * most]
+        if not columns:
+            continue
+        for x, y in find([shorts[i] for i in rows], [texts[j] for j in columns]):
+            s, t = shorts[rows[x]], texts[columns[y]]
+            if s in t or infix_distance(s, t, len(s) // 10, 0, len(t) - len(s)) <= len(s) // 10:
+                yield rows[x], columns[y]
+
+
+def block_pairs(names_a: list, a: list[bytes], names_b: list, b: list[bytes]) -> set[tuple]:
     """Names of all pairs of a string of ``a`` and one of ``b``, the shorter of which occurs almost in the longer, in either direction."""
     from locusframe.llm.overlap import reverse_complement
 
-    out: set[tuple[int, int]] = set()
+    out: set[tuple] = set()
     for own, names, other, others, turn in ((a, names_a, b, names_b, False), (b, names_b, a, names_a, True)):
-        least, most = min(map(len, own)), max(map(len, own))
-        near = [j for j, t in enumerate(other) if least <= len(t) <= 2 * most]
-        if not near:
-            continue
-        longs, called = Longs([other[j] for j in near]), [others[j] for j in near]
-        some = [i for i, t in enumerate(own) if 2 * len(t) >= longs.sizes.min() and len(t) <= longs.sizes.max()]
-        for way in (lambda t: t, reverse_complement):
-            for i, j in occurrences([way(own[i]) for i in some], longs):
-                pair = (names[some[i]], called[j])
-                out.add(pair[::-1] if turn else pair)
+        least, most = min(map(len, other)), max(map(len, other))
+        some = [i for i, t in enumerate(own) if 2 * len(t) >= least and len(t) <= most]
+        both = [own[i] for i in some] + [reverse_complement(own[i]) for i in some]
+        for i, j in occurrences(both, other):
+            pair = (names[some[i % len(some)]], others[j])
+            out.add(pair[::-1] if turn else pair)
     return out
 
 
@@ -170,31 +258,53 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _of_task(table: pa.Table) -> pa.Table:
-    side: dict[bool, tuple[list[int], list[bytes]]] = {True: ([], []), False: ([], [])}
+    side: dict[bool, tuple[list, list[bytes]]] = {True: ([], []), False: ([], [])}
     for c, held_out, z in zip(*(table.column(x).to_pylist() for x in ("c", "held_out", "z"))):
         side[held_out][0].append(c)
         side[held_out][1].append(zlib.decompress(z))
     pairs = sorted(p for p in block_pairs(*side[True], *side[False]) if p[0] != p[1]) if side[True][0] and side[False][0] else []
-    return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+    return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
+
+
+def length_blocks(letters: dict[int, int], block: int) -> list[tuple[int, int, int]]:
+    """Blocks of about ``block`` letters: first and last range of lengths, and in how many parts they are cut.
+
+    ``letters``: of each range.  Neighbouring small ranges come together, a large one is parted.
+    """
+    out: list[tuple[int, int, int]] = []
+    first, total = None, 0
+    for x in sorted(letters):
+        if first is not None and (total + letters[x] > block or x - first >= RANGES):
+            out.append((first, last, math.ceil(total / block)))
+            first, total = None, 0
+        first, last, total = x if first is None else first, x, total + letters[x]
+    return [*out, (first, last, math.ceil(total / block))] if first is not None else out
 
 
 def all_links(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """All pairs of classes (a held out, b of training) with different strings within the allowed edits; ``rows``: c, s, n, held_out.
 
-    Blocks are of lengths between powers of two, so a block meets only its own, the next and the one before.
+    Blocks are of strings of neighbouring lengths, so a block meets only those from half to twice its lengths.
     """
     from locusframe.session import write_once
 
     spark = rows.sparkSession
     classes = rows.select("c", "s", "n", "held_out").dropDuplicates(["c", "held_out"])
-    packed = write_once(classes.mapInArrow(_packed, "c bigint, n int, held_out boolean, z binary").withColumn("bin", F.floor(F.log2("n")).cast("int")))
-    total = {(r["bin"], r["held_out"]): r["letters"] for r in packed.groupBy("bin", "held_out").agg(F.sum("n").alias("letters")).collect()}
-    parts = {k: math.ceil(v / block) for k, v in total.items()}
-    plan = [(x, h, y, parts[x, h], p) for x, h in parts for y in (x - 1, x, x + 1) for p in range(parts.get((y, not h), 0))]
+    packed = write_once(classes.mapInArrow(_packed, "c binary, n int, held_out boolean, z binary").withColumn("bin", F.floor(F.log2("n") * RANGES).cast("int")))
+    total: dict[bool, dict[int, int]] = {True: {}, False: {}}
+    for r in packed.groupBy("bin", "held_out").agg(F.sum("n").alias("letters")).collect():  # some hundred ranges at most
+        total[r["held_out"]][r["bin"]] = r["letters"]
+    blocks = {side: length_blocks(total[side], block) for side in total}
+    number = {side: [sum(p for *_, p in blocks[side][:i]) for i in range(len(blocks[side]))] for side in total}
+    plan = []
+    for side in (True, False):
+        for (low, high, parts), base in zip(blocks[side], number[side]):
+            for (other_low, other_high, other_parts), other in zip(blocks[not side], number[not side]):
+                if low <= other_high + RANGES and other_low <= high + RANGES:
+                    plan += [(x, side, parts, base, other + p) for x in range(low, high + 1) if x in total[side] for p in range(other_parts)]
     if not plan:
-        return spark.createDataFrame([], "a bigint, b bigint")
-    meets = spark.createDataFrame(plan, "bin int, held_out boolean, other int, own_parts int, other_part int")
-    spread = packed.join(F.broadcast(meets), ["bin", "held_out"]).withColumn("own_part", F.pmod(F.xxhash64("c"), F.col("own_parts")).cast("int"))
-    ours, theirs = F.struct(F.col("bin").alias("bin"), F.col("own_part").alias("part")), F.struct(F.col("other").alias("bin"), F.col("other_part").alias("part"))
-    spread = spread.select("c", "held_out", "z", F.when(F.col("held_out"), ours).otherwise(theirs).alias("block_a"), F.when(F.col("held_out"), theirs).otherwise(ours).alias("block_b"))
-    return spread.groupBy("block_a", "block_b").applyInArrow(_of_task, "a bigint, b bigint").distinct()
+        return spark.createDataFrame([], "a binary, b binary")
+    meets = spark.createDataFrame(plan, "bin int, held_out boolean, parts int, base int, other int")
+    spread = packed.join(F.broadcast(meets), ["bin", "held_out"]).withColumn("own", F.col("base") + F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
+    side = [F.when(F.col("held_out"), x).otherwise(y).alias(name) for name, x, y in (("block_a", F.col("own"), F.col("other")), ("block_b", F.col("other"), F.col("own")))]
+    return spread.select("c", "held_out", "z", *side).groupBy("block_a", "block_b").applyInArrow(_of_task, "a binary, b binary").distinct()

@@ -1,44 +1,17 @@
 """Records of one split that occur, exactly or almost, in records of another one.
 
-The pairs come from ``blocks``, which misses none.  Here is besides, for those who ask for it by
-``frequent``, a segment join under edit distance: evaluation strings are cut into segments, training strings are
-searched for them at every position, and pairs with enough segments at fitting positions are verified
-by a banded dynamic program.  With k allowed edits, k + 1 segments would guarantee one that is
-untouched; at k = a tenth of the string that is segments of ten letters, each of which stands by
-chance in every millionth position, so candidates would grow as the square of the corpus.  Segments
-here are longer (``SEED`` letters), which edits spread over the string leave untouched often enough:
-see ``least_hits`` and the README for what is given up, and ``exhaustive`` for the guarantee.
-
-What never grows with the corpus: the set of segments is a bit map of 4**SEED bits.  What is never
-multiplied: equal strings are one class, and segments that more than ``FREQUENT`` training classes
-hold (elements that unrelated records share) count only for strings that consist mostly of such.
+Classes of equal strings are compared in ``blocks``, which misses no pair; here are the rows of a table, the
+distance that decides, and the pairs and report of the records.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.llm.blocks import all_links
-from locusframe.session import cut_lineage, write_once
-
-SEED = 14
-#: A string shorter than this is searched with short segments besides.
-SHORT = 320
-SHORT_SEED = 9
-#: Segments of which at least one is untouched in every true pair of strings from 180 letters on: a stretch
-#: of 0.9 n letters holds more than n / 10 whole segments of eight.
-PIGEON_SEED = 8
-FREQUENT = 256
-#: Share of a string that may be substituted, inserted or deleted, and least share of lengths.
-EDITS, LENGTHS = 0.1, 0.5
-#: Rows up to which the list of classes to verify is broadcast; beyond it strings are shuffled.
-BROADCAST_ROWS = 1_000_000
-BLOCK = 2_000_000
+from locusframe.session import write_once
 
 _CODE = np.full(256, 4, np.uint8)
 _CODE[np.frombuffer(b"ACGT", np.uint8)] = range(4)
@@ -49,164 +22,6 @@ def reverse_complement(s: bytes) -> bytes:
     return s.translate(_COMPLEMENT)[::-1]
 
 
-def segments(data: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every position: the key of the ``seed`` letters there, whether they are in key direction, and validity.
-
-    A segment and its reverse complement have one key.  Segments with other letters than ACGT have none.
-    """
-    n = len(data) - seed + 1
-    if n <= 0:
-        return np.empty(0, np.uint32), np.empty(0, bool), np.empty(0, bool)
-    code = _CODE[data]
-    other = np.concatenate([[0], np.cumsum(code == 4, dtype=np.int32)])
-    valid = other[seed:] == other[:-seed]
-    base = (code & 3).astype(np.uint32)
-    fwd, rev, done, have = np.zeros(n, np.uint32), np.zeros(n, np.uint32), 0, 1
-    f, r = base, 3 - base  # of ``have`` letters
-    while True:
-        if seed & have:
-            fwd = fwd << np.uint32(2 * have) | f[done : done + n]
-            rev |= r[done : done + n] << np.uint32(2 * done)
-            done += have
-        if 2 * have > seed:
-            break
-        f, r = f[:-have] << np.uint32(2 * have) | f[have:], r[:-have] | r[have:] << np.uint32(2 * have)
-        have *= 2
-    return np.minimum(fwd, rev), fwd <= rev, valid
-
-
-def _chunks(names: list[int], texts: list[bytes], size: int = BLOCK):
-    """Strings laid end to end (one foreign letter between them), each class once: names, bytes, begins, lengths."""
-    some, some_names, total = [], [], 0
-    for c, t in zip(names, texts):
-        some.append(t)
-        some_names.append(c)
-        total += len(t) + 1
-        if total >= size:
-            yield some_names, some
-            some, some_names, total = [], [], 0
-    if some:
-        yield some_names, some
-
-
-def _seeds(seed: int, every: int, present: bytes | None):
-    """Rows of segment keys: the first of each ``every`` positions, or those whose bit is set in ``present``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if present is None else np.frombuffer(present.value, np.uint8)
-        met: set[int] = set()
-        for b in batches:
-            fresh = [i for i, c in enumerate(b.column(0).to_pylist()) if not (c in met or met.add(c))]
-            if len(met) > 1_000_000:
-                met.clear()
-            if not fresh:
-                continue
-            sub = b.take(pa.array(fresh))
-            for names, texts in _chunks(sub.column(0).to_pylist(), [t.encode() for t in sub.column(1).to_pylist()]):
-                sizes = np.array([len(t) for t in texts])
-                begin = np.concatenate([[0], np.cumsum(sizes[:-1] + 1)])
-                key, same, valid = segments(np.frombuffer(b"\x00".join(texts), np.uint8), seed)
-                at = np.flatnonzero(valid)
-                row = np.searchsorted(begin, at, "right") - 1
-                pos = at - begin[row]
-                if bits is None:
-                    keep = pos % every == 0
-                else:
-                    k = key[at]
-                    keep = (bits[k >> np.uint32(3)] >> (k & np.uint32(7)).astype(np.uint8) & 1).astype(bool)
-                at, row, pos = at[keep], row[keep], pos[keep]
-                _, one = np.unique(row << 32 | key[at].astype(np.int64), return_index=True)
-                at, row, pos = at[one], row[one], pos[one]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[at].astype(np.int32)), pa.array(np.array(names, np.int64)[row]), pa.array((pos * 2 + same[at]).astype(np.int32)), pa.array(sizes[row].astype(np.int32))],
-                    names=["key", "c", "at", "n"],
-                )
-
-    return run
-
-
-SEED_ROW = "key int, c bigint, at int, n int"
-
-
-def _bit_map(keys: DataFrame, seed: int):
-    """A broadcast bit for each possible key, set for those in ``keys``: 4**seed bits, however many rows."""
-    chunk = 16
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for b in batches:
-            k = np.asarray(b.column(0))
-            for c in np.unique(k >> chunk):
-                held.setdefault(int(c), np.zeros(1 << chunk, bool))[k[k >> chunk == c] & (1 << chunk) - 1] = True
-        for c, bits in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["chunk", "bits"])
-
-    parts = max(1, min(64, 4**seed >> chunk))
-    spread = keys.select("key").repartition(parts, F.shiftright("key", chunk))
-    whole = bytearray(max(1, 4**seed // 8))
-    for c, bits in spread.mapInArrow(run, "chunk int, bits binary").collect():
-        whole[c << chunk - 3 : (c << chunk - 3) + len(bits)] = bits
-    return keys.sparkSession.sparkContext.broadcast(bytes(whole[: max(1, 4**seed // 8)]))
-
-
-def least_hits(shorter: Column, seed: int, known: Column) -> Column:
-    """Segments that a pair must share: 4.5 deviations below what a tenth of random edits leaves, at least ``known``."""
-    m = shorter / (2.0 * seed)  # half of them may be frequent ones that don't count
-    p = (1 - EDITS) ** seed
-    return F.greatest(known, F.floor(p * m - 4.5 * F.sqrt(p * (1 - p) * m)))
-
-
-def candidates(rows: DataFrame, seed: int, hits: int, frequent: int = FREQUENT, every: int | None = None, exhaustive: bool = False) -> DataFrame:
-    """Pairs of classes (a of an evaluation split, b of training) with direction and the range of diagonals.
-
-    ``rows``: c, s, n, held_out.  ``exhaustive``: keep every pair with ``hits`` shared segments.
-    """
-    evaluated = write_once(rows.filter("held_out").select("c", "s").mapInArrow(_seeds(seed, every or seed, None), SEED_ROW))
-    present = _bit_map(evaluated, seed)
-    trained = rows.filter("not held_out").select("c", "s").mapInArrow(_seeds(seed, 1, present), SEED_ROW)
-    both = evaluated.withColumn("mine", F.lit(True)).unionByName(trained.withColumn("mine", F.lit(False))).repartition("key")
-    # parts with equal classes meet once under their key
-    once = both.groupBy("key", "c", "mine").agg(F.min("at").alias("at"), F.first("n").alias("n"))
-    of_key = Window.partitionBy("key")
-    held, asked = F.count_if(~F.col("mine")).over(of_key), F.count_if("mine").over(of_key)
-    seeds = write_once(once.withColumn("held", held).withColumn("asked", asked).filter("held > 0 and asked > 0").select("key", "c", "mine", "at", "n", (F.col("held") > frequent).alias("often")))
-    a = seeds.filter("mine").select("key", F.col("c").alias("a"), F.col("at").alias("a_at"), F.col("n").alias("a_n"), "often")
-    b = seeds.filter("not mine").select("key", F.col("c").alias("b"), F.col("at").alias("b_at"), F.col("n").alias("b_n"), "often")
-    shared = a.filter("not often").join(b.filter("not often").drop("often"), "key")
-    a_often = a.filter("often").groupBy("a").agg(F.count(F.lit(1)).alias("a_often"), F.first("a_n").alias("n")).select("a", (F.col("a_often") * seed / F.col("n") >= 0.5).alias("a_rich"), "a_often")
-    b_often = b.filter("often").groupBy("b").agg(F.count(F.lit(1)).alias("b_often"), F.first("b_n").alias("n")).select("b", (F.col("b_often") / F.col("n") >= 0.5).alias("b_rich"), "b_often")
-    a_often, b_often = cut_lineage(a_often), cut_lineage(b_often)
-    rich_a, rich_b = a_often.filter("a_rich").select("a"), b_often.filter("b_rich").select("b")
-    often_a, often_b = a.filter("often"), b.filter("often").drop("often")
-    if rich_a.limit(1).count():
-        shared = shared.unionByName(often_a.join(rich_a, "a", "left_semi").join(often_b, "key"))
-    if rich_b.limit(1).count():
-        shared = shared.unionByName(often_a.join(rich_a, "a", "left_anti").join(often_b.join(rich_b, "b", "left_semi"), "key"))
-    shorter, longer = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
-    shared = shared.filter(shorter >= longer * LENGTHS)
-    same = (F.col("a_at") % 2) == (F.col("b_at") % 2)
-    a_pos, b_raw = F.floor(F.col("a_at") / 2).cast("int"), F.floor(F.col("b_at") / 2).cast("int")
-    b_pos = F.when(same, b_raw).otherwise(F.col("b_n") - seed - b_raw)
-    slack = F.floor(shorter * EDITS)
-    fits = (b_pos - a_pos).between(F.least(F.lit(0), F.col("b_n") - F.col("a_n")) - slack, F.greatest(F.lit(0), F.col("b_n") - F.col("a_n")) + slack)
-    pairs = (
-        shared.filter(fits)
-        .select("a", "b", "a_n", "b_n", same.alias("same"), a_pos.alias("p"), (b_pos - a_pos).alias("d"))
-        .groupBy("a", "b", "same")
-        .agg(F.count(F.lit(1)).alias("hits"), F.min("p").alias("first"), F.max("p").alias("last"), F.min("d").alias("d_lo"), F.max("d").alias("d_hi"), F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
-        .filter(F.col("hits") >= (F.lit(hits) if exhaustive else least_hits(shorter, seed, F.lit(hits))))
-        .filter(F.col("a") != F.col("b"))
-    )
-    if exhaustive:
-        return pairs.select("a", "b", "same", "d_lo", "d_hi")
-    # a true pair has no long part without a shared segment, frequent ones apart
-    free = (shorter - (F.col("last") - F.col("first"))) / seed
-    pairs = pairs.join(a_often.drop("a_rich"), "a", "left").join(b_often.drop("b_rich"), "b", "left")
-    spared = F.coalesce("a_often", F.lit(0)) + F.coalesce(F.col("b_often") / seed, F.lit(0))
-    silent = float(np.log(1e-4) / np.log(1 - (1 - EDITS) ** seed))
-    return pairs.filter(free <= silent + spared).select("a", "b", "same", "d_lo", "d_hi")
-
-
 def infix_distance(s: bytes, text: bytes, k: int, d_lo: int, d_hi: int, strip: int = 256) -> int:
     """Least edits between ``s`` and a stretch of ``text`` on diagonals (text - s) from d_lo - k to d_hi + k.
 
@@ -255,52 +70,19 @@ def infix_distance(s: bytes, text: bytes, k: int, d_lo: int, d_hi: int, strip: i
 
 
 def _grams(s: bytes, q: int = 8) -> np.ndarray:
-    code = _CODE[np.frombuffer(s, np.uint8)]
-    n = len(code) - q + 1
-    out = np.zeros(max(n, 0), np.int32)
-    for i in range(q if n > 0 else 0):
-        out = out << 2 | (code[i : i + n] & 3)
-    return out
-
-
-def edits_at_least(s: bytes, text: bytes, q: int = 8) -> int:
-    """A lower bound of the edits between ``s`` and any stretch of ``text``: one edit spoils at most q of the q-grams."""
-    mine = _grams(s, q)
-    if not len(mine):
-        return 0
-    there = np.zeros(1 << 2 * q, bool)
-    there[_grams(text, q)] = True
-    odd = np.frombuffer(s, np.uint8)
-    spare = int((_CODE[odd] == 4).sum()) * q  # grams with other letters may match
-    return max(0, -(-(int((~there[mine]).sum()) - spare) // q))
-
-
-def almost_within(a: bytes, b: bytes, d_lo: int, d_hi: int) -> bool:
-    """Whether the shorter string matches a stretch of the longer one within the allowed edits.
-
-    The diagonals are those of b against a.
-    """
-    s, text = (a, b) if len(a) <= len(b) else (b, a)
-    if len(a) > len(b):
-        d_lo, d_hi = -d_hi, -d_lo
-    if not s or len(s) < LENGTHS * len(text):
-        return False
-    k = len(s) // 10
-    if s in text:
-        return True
-    if edits_at_least(s, text) > k:
-        return False
-    return infix_distance(s, text, k, d_lo, d_hi) <= k
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for i, (same, d_lo, d_hi, sa, sb) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("same", "d_lo", "d_hi", "sa", "sb")))):
-            b = sb.encode()
-            if almost_within(sa.encode(), b if same else reverse_complement(b), d_lo, d_hi):
-                keep.append(i)
-        yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+    """The number of the ``q`` letters at each position; other letters than ACGT count as A."""
+    one = _CODE[np.frombuffer(s, np.uint8)] & 3
+    n = max(len(one) - q + 1, 0)
+    kind = np.uint16 if q <= 8 else np.int32
+    have, some, done, out = 1, one.astype(kind), 0, np.zeros(n, kind)
+    while True:  # ``some`` holds the numbers of ``have`` letters: 1, 2, 4, ...
+        if q & have:
+            out |= some[q - done - have :][:n] << kind(2 * done)
+            done += have
+        if 2 * have > q:
+            return out
+        some = some[:-have] << kind(2 * have) | some[have:]
+        have *= 2
 
 
 def split_rows(df: DataFrame, key: str, text: str, split: str, held_out: tuple[str, ...], training: str) -> DataFrame:
@@ -309,34 +91,10 @@ def split_rows(df: DataFrame, key: str, text: str, split: str, held_out: tuple[s
     s = F.translate(F.upper(F.col(text)), "U", "T")
     rows = df.filter(side.isin(*held_out, training) & (F.length(text) > 0) & F.col(key).isNotNull())
     rows = rows.select(F.col(key).alias("key"), s.alias("s"), side.isin(*held_out).alias("held_out"))
-    return rows.select("key", F.xxhash64("s", F.length("s")).alias("c"), "s", F.length("s").alias("n"), "held_out")
-
-
-def class_links(rows: DataFrame, members: DataFrame, frequent: int | None = None, exhaustive: bool = False) -> DataFrame:
-    """Verified pairs of classes (a held out, b of training) with different strings."""
-    if frequent is None and not exhaustive:
-        return all_links(rows)
-    if exhaustive:
-        return verified(rows, candidates(rows, PIGEON_SEED, 1, 1 << 62, exhaustive=True))
-    found = candidates(rows, SEED, 2, frequent)
-    if members.filter(F.col("n") < SHORT).limit(1).count():
-        near = rows.filter(F.col("n") < SHORT / LENGTHS)
-        found = found.unionByName(candidates(near, SHORT_SEED, 1, frequent, every=3)).groupBy("a", "b", "same").agg(F.min("d_lo").alias("d_lo"), F.max("d_hi").alias("d_hi"))
-    return verified(rows, found)
-
-
-def verified(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs of ``found`` whose strings are within the allowed edits."""
-    found = cut_lineage(found)
-    needed = found.select(F.col("a").alias("c")).union(found.select("b")).distinct()
-    needed = F.broadcast(needed) if found.limit(BROADCAST_ROWS // 2 + 1).count() <= BROADCAST_ROWS // 2 else needed
-    texts = rows.select("c", "s").join(needed, "c", "left_semi").dropDuplicates(["c"])
-    parts = max(1, rows.sparkSession.sparkContext.defaultParallelism)
-    both = found.join(texts.toDF("a", "sa"), "a").join(texts.toDF("b", "sb"), "b")
-    return both.select("a", "b", "same", "d_lo", "d_hi", "sa", "sb").repartition(4 * parts).mapInArrow(_verify, "a bigint, b bigint").distinct()
+    return rows.select("key", F.unhex(F.md5("s")).alias("c"), "s", F.length("s").alias("n"), "held_out")
 
 
-def cross_split_pairs(df: DataFrame, key: str = "rec_id", text: str = "seq", split: str = "mode", held_out: tuple[str, ...] = ("test", "val"), training: str = "train", frequent: int | None = None, exhaustive: bool = False) -> DataFrame:
+def cross_split_pairs(df: DataFrame, key: str = "rec_id", text: str = "seq", split: str = "mode", held_out: tuple[str, ...] = ("test", "val"), training: str = "train") -> DataFrame:
     """Pairs (key_a < key_b) of a held-out and a training record, one of which holds the other almost.
 
     Letter case is ignored, U is T, either record may be reverse-complemented; N is a letter like the
@@ -344,13 +102,11 @@ def cross_split_pairs(df: DataFrame, key: str = "rec_id", text: str = "seq", spl
     at most a tenth of its letters edited.  Split names are read without regard to case and outer
     spaces; null and other splits, null and empty strings, and null keys are in no pair.  Repeated rows
     count once; an empty table gives no rows; other columns aren't read.  No pair is missed, at a cost
-    that grows as the square of the table (see ``blocks``).  With ``frequent`` the segment join is taken,
-    which grows with the table but loses pairs (see ``candidates``); with ``exhaustive`` its segments are
-    so short that it misses no pair of strings from 180 letters on.
+    that grows as the product of both sides' letters (see ``blocks``).
     """
     rows = split_rows(df, key, text, split, held_out, training)
     members = write_once(rows.select("c", "key", "n", "held_out").distinct())
-    links = class_links(rows, members, frequent, exhaustive)
+    links = all_links(rows)
     first = members.filter("held_out").select(F.col("c").alias("a"), F.col("key").alias("ka"))
     second = members.filter("not held_out").select(F.col("c").alias("b"), F.col("key").alias("kb"))
     equal = first.select("a").distinct().join(second.select(F.col("b").alias("a")).distinct(), "a").select("a", F.col("a").alias("b"))
