@@ -10,7 +10,6 @@ grows as the product of the two sides; it is spread over blocks of limited size.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,13 +44,16 @@ class Longs:
         if not indexed:
             return
         row = np.repeat(np.arange(m, dtype=np.int32), self.sizes + 1)[: len(whole)]
-        left = np.repeat(self.begin + self.sizes, self.sizes + 1)[: len(whole)] - np.arange(len(whole))  # letters to the end
+        end = (self.begin + self.sizes).astype(np.int32)
+        left = np.repeat(end, self.sizes + 1)[: len(whole)] - np.arange(len(whole), dtype=np.int32)  # letters to the end
         key = _grams(whole, WORD)
         inside = left[: len(key)] >= WORD
-        held = np.sort(key[inside].astype(np.int64) * m + row[: len(key)][inside])
+        bits = max(1, (m - 1).bit_length())
+        kind = np.uint32 if 2 * WORD + bits <= 32 else np.uint64
+        held = np.sort(key[inside].astype(kind) << kind(bits) | row[: len(key)][inside].astype(kind))
         held = held[np.concatenate([[True], held[1:] != held[:-1]])] if len(held) else held
-        self.start = np.searchsorted(held, np.arange(4**WORD + 1) * m)
-        self.holder = (held % m).astype(np.int32)
+        self.start = np.searchsorted(held >> kind(bits), np.arange(4**WORD + 1, dtype=kind))
+        self.holder = (held & kind((1 << bits) - 1)).astype(np.int32)
         if not listed:
             return
         # which short words a string holds at all, a bit for each
@@ -251,17 +253,11 @@ def block_pairs(names_a: list, a: list[bytes], names_b: list, b: list[bytes]) ->
     return out
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        z = [zlib.compress(t.encode(), 1) for t in b.column("s").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("c"), b.column("n"), b.column("held_out"), pa.array(z, pa.binary())], names=["c", "n", "held_out", "z"])
-
-
 def _of_task(table: pa.Table) -> pa.Table:
     side: dict[bool, tuple[list, list[bytes]]] = {True: ([], []), False: ([], [])}
-    for c, held_out, z in zip(*(table.column(x).to_pylist() for x in ("c", "held_out", "z"))):
+    for c, n, held_out, z in zip(*(table.column(x).to_pylist() for x in ("c", "n", "held_out", "z"))):
         side[held_out][0].append(c)
-        side[held_out][1].append(zlib.decompress(z))
+        side[held_out][1].append(pa.decompress(z, n, "zstd", asbytes=True))
     pairs = sorted(p for p in block_pairs(*side[True], *side[False]) if p[0] != p[1]) if side[True][0] and side[False][0] else []
     return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
 
@@ -282,17 +278,15 @@ def length_blocks(letters: dict[int, int], block: int) -> list[tuple[int, int, i
 
 
 def all_links(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """All pairs of classes (a held out, b of training) with different strings within the allowed edits; ``rows``: c, s, n, held_out.
+    """All pairs of classes (a held out, b of training) with different strings within the allowed edits; ``rows``: c, n, held_out, z.
 
-    Blocks are of strings of neighbouring lengths, so a block meets only those from half to twice its lengths.
+    ``z`` are the compressed strings of ``n`` bytes.  Blocks are of strings of neighbouring lengths, so a block
+    meets only those from half to twice its lengths.
     """
-    from locusframe.session import write_once
-
     spark = rows.sparkSession
-    classes = rows.select("c", "s", "n", "held_out").dropDuplicates(["c", "held_out"])
-    packed = write_once(classes.mapInArrow(_packed, "c binary, n int, held_out boolean, z binary").withColumn("bin", F.floor(F.log2("n") * RANGES).cast("int")))
+    packed = rows.select("c", "n", "held_out", "z").withColumn("bin", F.floor(F.log2("n") * RANGES).cast("int"))
     total: dict[bool, dict[int, int]] = {True: {}, False: {}}
-    for r in packed.groupBy("bin", "held_out").agg(F.sum("n").alias("letters")).collect():  # some hundred ranges at most
+    for r in packed.select("c", "n", "held_out", "bin").distinct().groupBy("bin", "held_out").agg(F.sum("n").alias("letters")).collect():  # some hundred ranges at most
         total[r["held_out"]][r["bin"]] = r["letters"]
     blocks = {side: length_blocks(total[side], block) for side in total}
     number = {side: [sum(p for *_, p in blocks[side][:i]) for i in range(len(blocks[side]))] for side in total}
@@ -305,6 +299,6 @@ def all_links(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     if not plan:
         return spark.createDataFrame([], "a binary, b binary")
     meets = spark.createDataFrame(plan, "bin int, held_out boolean, parts int, base int, other int")
-    spread = packed.join(F.broadcast(meets), ["bin", "held_out"]).withColumn("own", F.col("base") + F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
+    spread = packed.dropDuplicates(["c", "held_out"]).join(F.broadcast(meets), ["bin", "held_out"]).withColumn("own", F.col("base") + F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
     side = [F.when(F.col("held_out"), x).otherwise(y).alias(name) for name, x, y in (("block_a", F.col("own"), F.col("other")), ("block_b", F.col("other"), F.col("own")))]
-    return spread.select("c", "held_out", "z", *side).groupBy("block_a", "block_b").applyInArrow(_of_task, "a binary, b binary").distinct()
+    return spread.select("c", "n", "held_out", "z", *side).groupBy("block_a", "block_b").applyInArrow(_of_task, "a binary, b binary").distinct()

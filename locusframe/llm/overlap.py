@@ -6,7 +6,11 @@ distance that decides, and the pairs and report of the records.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,13 +89,23 @@ def _grams(s: bytes, q: int = 8) -> np.ndarray:
         have *= 2
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = [t.encode().upper().replace(b"U", b"T") for t in b.column(1).to_pylist()]
+        c = pa.array([hashlib.md5(t).digest() for t in texts], pa.binary())
+        z = pa.array([pa.compress(t, "zstd", asbytes=True) for t in texts], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column(0), c, pa.array([len(t) for t in texts], pa.int32()), b.column(2), z], names=["key", "c", "n", "held_out", "z"])
+
+
 def split_rows(df: DataFrame, key: str, text: str, split: str, held_out: tuple[str, ...], training: str) -> DataFrame:
-    """key, c (class of equal strings), s (upper case, U as T), n, held_out; rows in no split or without text are left out."""
+    """key, c (128-bit name of the class of equal strings), n bytes, held_out, z (the compressed string, upper case, U as T).
+
+    Rows in no split or without text are left out.
+    """
     side = F.lower(F.trim(F.col(split)))
-    s = F.translate(F.upper(F.col(text)), "U", "T")
     rows = df.filter(side.isin(*held_out, training) & (F.length(text) > 0) & F.col(key).isNotNull())
-    rows = rows.select(F.col(key).alias("key"), s.alias("s"), side.isin(*held_out).alias("held_out"))
-    return rows.select("key", F.unhex(F.md5("s")).alias("c"), "s", F.length("s").alias("n"), "held_out")
+    rows = rows.select(F.col(key).alias("key"), F.col(text).alias("s"), side.isin(*held_out).alias("held_out"))
+    return rows.mapInArrow(_packed, f"key {df.schema[key].dataType.simpleString()}, c binary, n int, held_out boolean, z binary")
 
 
 def cross_split_pairs(df: DataFrame, key: str = "rec_id", text: str = "seq", split: str = "mode", held_out: tuple[str, ...] = ("test", "val"), training: str = "train") -> DataFrame:
@@ -104,8 +118,8 @@ def cross_split_pairs(df: DataFrame, key: str = "rec_id", text: str = "seq", spl
     count once; an empty table gives no rows; other columns aren't read.  No pair is missed, at a cost
     that grows as the product of both sides' letters (see ``blocks``).
     """
-    rows = split_rows(df, key, text, split, held_out, training)
-    members = write_once(rows.select("c", "key", "n", "held_out").distinct())
+    rows = write_once(split_rows(df, key, text, split, held_out, training))
+    members = write_once(rows.select("c", "key", "held_out").distinct())
     links = all_links(rows)
     first = members.filter("held_out").select(F.col("c").alias("a"), F.col("key").alias("ka"))
     second = members.filter("not held_out").select(F.col("c").alias("b"), F.col("key").alias("kb"))
