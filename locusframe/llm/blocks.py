@@ -27,7 +27,7 @@ RANGES = 8
 #: Short segments of one stretch, and width of half a window of diagonals.
 GROUP = 16
 #: Letters of a block, counters of a batch, letters and matches looked at together.
-BLOCK, COUNTERS, LETTERS, MATCHES = 8_000_000, 400_000, 300_000, 20_000_000
+BLOCK, COUNTERS, LETTERS, MATCHES = 10_000_000, 400_000, 300_000, 20_000_000
 
 
 class Longs:
