@@ -56,6 +56,11 @@ class Regions:
         return int(weak[hit[0]]) if len(hit) else stop
 
 
+def percentile(score: np.ndarray) -> float:
+    """The score that PERCENTILE of the scores lie below, linear between neighbours."""
+    return float(np.percentile(score, 100 * PERCENTILE))
+
+
 def considered(pos: np.ndarray, kind: np.ndarray, score: np.ndarray) -> np.ndarray:
     """Indices of a region's events that are searched, in order; the first event is the CDS start."""
     keep = [np.array([0])]
@@ -64,7 +69,7 @@ def considered(pos: np.ndarray, kind: np.ndarray, score: np.ndarray) -> np.ndarr
         own = rest[kind[1:] == t]
         own = own[np.argsort(-score[own], kind="stable")]
         if t != S.CDS_END and len(own):
-            passing = int((score[own] >= min(np.percentile(score[own], 100 * PERCENTILE), CEILING)).sum())
+            passing = int((score[own] >= min(percentile(score[own]), CEILING)).sum())
             own = own[: min(max(passing, FLOOR), CAP)]
         keep.append(own)
     tail = np.concatenate(keep[1:])
@@ -195,7 +200,8 @@ def structures(pos: np.ndarray, kind: np.ndarray, score: np.ndarray, p: np.ndarr
 CALLS = "contig_id {0}, strand tinyint, call_no bigint, first bigint, last bigint, score double, call array<struct<pos:bigint,type:tinyint,score:double>>, exon_scores array<double>"
 
 
-def _sorted_events(p: np.ndarray, thresholds: dict[int, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sorted_events(p: np.ndarray, thresholds: dict[int, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Position, type and score of every score that reaches its type's threshold, by position and type."""
     pos, kind = [], []
     for t, least in thresholds.items():
         at = np.flatnonzero(p[S.EVENT_CLASS[t]] >= np.float32(least))
@@ -207,30 +213,26 @@ def _sorted_events(p: np.ndarray, thresholds: dict[int, float]) -> tuple[np.ndar
     return pos, kind, p[np.array([S.EVENT_CLASS[t] for t in range(4)])[kind], pos].astype(np.float64)
 
 
-def candidate_calls(tracks: DataFrame, contigs: DataFrame, params: Params) -> DataFrame:
+def candidate_calls(tracks: DataFrame, params: Params) -> DataFrame:
     """All candidate structures with at least the least score: one row each.
 
-    ``tracks`` are scored tiles, ``contigs`` contig_id and seq.  The tiles of one strand of a contig meet in
-    one task, sorted, with the sequence beside the first one; a contig's length bounds what that holds.
+    ``tracks`` are scored tiles with their letters.  The tiles of one strand of a contig meet in one task,
+    sorted; a contig's length bounds what that holds.
     """
-    from locusframe.functions.seq import reverse_complement
-
     least = LEAST_SCORE if params.dynamic_scoring else params.min_gene_score
     thresholds = params.thresholds()
-    strands = contigs.select("contig_id", "seq", F.explode(F.array(F.lit(1).cast("tinyint"), F.lit(-1).cast("tinyint"))).alias("strand"))
-    seqs = strands.select("contig_id", "strand", F.when(F.col("strand") == -1, reverse_complement("seq")).otherwise(F.col("seq")).alias("seq"))
-    kind = contigs.schema["contig_id"].dataType.simpleString()
-    rows = tracks.join(seqs, ["contig_id", "strand"]).withColumn("seq", F.when(F.col("tile_start") == 0, F.col("seq"))).repartition("contig_id", "strand").sortWithinPartitions("contig_id", "strand", "tile_start")
-    rows = rows.select("contig_id", "strand", "seq", *[F.col("p")[i].alias(f"p{i}") for i in range(7)])
+    kind = tracks.schema["contig_id"].dataType.simpleString()
+    rows = tracks.repartition("contig_id", "strand").sortWithinPartitions("contig_id", "strand", "tile_start")
+    rows = rows.select("contig_id", "strand", "letters", *[F.col("p")[i].alias(f"p{i}") for i in range(7)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, seq, tiles = None, None, []
+        now, letters, tiles = None, [], []
 
         def solve() -> list[tuple]:
             p = np.concatenate(tiles, axis=1)
-            pos, types, score = _sorted_events(p, thresholds)
+            pos, types, score = sorted_events(p, thresholds)
             out = []
-            for n, (value, at, parts) in enumerate(structures(pos, types, score, p, seq, params)):
+            for n, (value, at, parts) in enumerate(structures(pos, types, score, p, "".join(letters), params)):
                 if value >= least:
                     call = [{"pos": int(pos[k]), "type": int(types[k]), "score": float(score[k])} for k in at]
                     out.append((*now, n, call[0]["pos"], call[-1]["pos"], value, call, parts))
@@ -250,7 +252,8 @@ def candidate_calls(tracks: DataFrame, contigs: DataFrame, params: Params) -> Da
                 if key != now:
                     if tiles:
                         out += solve()
-                    now, seq, tiles = key, b.column(2)[i].as_py(), []
+                    now, letters, tiles = key, [], []
+                letters.append(b.column(2)[i].as_py())
                 tiles.append(np.stack([np.asarray(b.column(3 + c)[i].values, np.float32) for c in range(7)]))
             yield batch(out, b)
         if tiles:

@@ -17,11 +17,6 @@ from pyspark.sql import functions as F
 from locusframe.session import cut_lineage
 
 
-def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
-    """Whether half-open intervals share a base."""
-    return (a_start < b_end) & (b_start < a_end)
-
-
 def range_tiles(df: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
     """``df`` in the ranges of ``order``, numbered by _tile, written once so that the ranges stay."""
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -171,36 +166,19 @@ def enough_flank(least: int = 200) -> Column:
     return left & right
 
 
-class _Resolver:
-    """Streams rows in the order (group, start, end); an overlapping row of the other strand with a
-    higher score takes the last kept row's place, any other row is kept beside it."""
-
-    def __init__(self):
-        self.last: tuple | None = None
-
-    def push(self, row: tuple) -> tuple | None:
-        """The row that is settled by ``row`` (group, start, end, strand, score, key)."""
-        last, self.last = self.last, row
-        if last is None:
-            return None
-        replaced = row[0] == last[0] and row[3] != last[3] and row[1] < last[2] and last[1] < row[2] and row[4] > last[4]
-        return None if replaced else last
-
-
 def resolve_opposite_strands(df: DataFrame, group: str, start: str, end: str, strand: str, score: str, key: str) -> DataFrame:
-    """Keys that stay after overlaps between strands are resolved in one sorted stream a contig.
+    """Keys that stay after overlaps between strands are resolved along each contig.
 
-    Only the last kept row is compared, so a weaker later row stays.  The stream holds one row.
+    In the order (start, end, score falling, key) a row gives way to the next one if that is on the other
+    strand, overlaps it and has a higher score; only neighbours are compared, so a weaker later row stays.
+    Range tiles may fall inside a contig, so a hot one is no single task.
     """
-    names = [group, start, end, strand, score, key]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        resolver = _Resolver()
-        for b in batches:
-            settled = [resolver.push(row) for row in zip(*(c.to_pylist() for c in b.columns))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[5] for r in settled if r], b.schema.field(5).type)], names=[key])
-        if resolver.last:
-            yield pa.RecordBatch.from_arrays([pa.array([resolver.last[5]], b.schema.field(5).type)], names=[key])
-
-    ordered = df.select(*names).repartition(group).sortWithinPartitions(group, start, end, F.desc(score), key)
-    return ordered.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}")
+    rows = df.select(*(F.col(c) for c in (group, start, end, strand, score, key))).withColumn("_down", -F.col(score))
+    order = [start, end, "_down", key]
+    tiles = range_tiles(rows, [group, *order])
+    own = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate((start, end, strand, score, key))))
+    seen = carried(tiles, [group], order, own, "_before", "last")
+    before = lambda i: F.col("_before")[f"c{i}"]
+    beaten = (before(2) != F.col(strand)) & (F.col(start) < before(1)) & (before(0) < F.col(end)) & (F.col(score) > before(3))
+    gone = seen.filter(beaten).select(before(4).alias(key))
+    return rows.select(key).join(gone, key, "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 import re
 from collections.abc import Callable
@@ -9,11 +10,12 @@ from collections.abc import Callable
 import numpy as np
 
 
-def motif_scorer() -> Callable[[str], np.ndarray]:
+def motif_scorer(context: int = 800) -> Callable[[str], np.ndarray]:
     """Scores from sequence motifs alone; for tests and for runs without a model. It predicts nothing real.
 
     CDS starts at start codons after a purine three bases before, CDS ends at stop codons, introns from
-    GTAAG, GTATG and GTGAG to TTNCAG and YAG after six pyrimidines.  Its context is 20 bases.
+    GTAAG, GTATG and GTGAG to TTNCAG and YAG after six pyrimidines.  Its context is 20 bases; half
+    of ``context`` is cut off on either side.
     """
     motifs = [
         (3, re.compile("(?=[AG]..ATG)"), 3, 0.8),
@@ -25,8 +27,6 @@ def motif_scorer() -> Callable[[str], np.ndarray]:
     ]
 
     def score(padded: str) -> np.ndarray:
-        from locusframe.operators.tracks import CONTEXT
-
         n = len(padded)
         p = np.zeros((7, n), np.float32)
         codes = np.frombuffer(padded.encode(), np.uint8)
@@ -38,7 +38,7 @@ def motif_scorer() -> Callable[[str], np.ndarray]:
             at = np.array([m.start() + shift for m in pattern.finditer(padded)], np.int64)
             at = at[(at >= 0) & (at < n)]
             p[row, at] = np.maximum(p[row, at], value)
-        half = CONTEXT // 2
+        half = context // 2
         return p[:, half : n - half]
 
     return score
@@ -65,10 +65,13 @@ def onnx_scorer(path: str) -> Callable[[], Callable[[str], np.ndarray]]:
     return make
 
 
-def scorer_of(model: str | None) -> Callable[[], Callable[[str], np.ndarray]]:
-    """The maker of scorers that ``--model`` names; the motif scorer without a name."""
+def scorer_of(model: str | None, context: int = 800) -> Callable[[], Callable[[str], np.ndarray]]:
+    """The maker of scorers that ``--model`` names; the motif scorer without a name.
+
+    A model gives scores of all letters but half the ``context`` at either end; ``tracks.scored`` checks that.
+    """
     if not model:
-        return motif_scorer
+        return functools.partial(motif_scorer, context)
     if model.endswith(".onnx"):
         return onnx_scorer(model)
     module, _, name = model.partition(":")

@@ -1,8 +1,8 @@
-"""Score tracks: scoring in overlapping tiles, prefix sums, boundary events, run-length segments.
+"""Score tracks: scoring in overlapping tiles, prefix sums, run-length segments.
 
-A track table has one row for each contig, strand and tile: tile_start and p, the scores of the seven
-classes as arrays over the tile's positions.  Positions are exploded only where an operator's result
-is a row for each position that passes a threshold.
+A track table has one row for each contig, strand and tile: tile_start, length (of the contig), letters (of
+the tile) and p, the scores of the seven classes as arrays over the tile's positions.  Positions never become
+rows; only what is found in them does.
 """
 
 from __future__ import annotations
@@ -11,135 +11,123 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe import schema as S
+from locusframe.session import write_once
 
-#: Positions scored at once and the context on either side that a scorer may look at.
+#: Positions scored at once and the context on both sides together that a scorer may look at.
 TILE, CONTEXT = 100_000, 800
+#: Letters of an Arrow batch of tiles.
+BATCH = 4_000_000
 
 Scorer = Callable[[str], np.ndarray]
+_COMPLEMENT = bytes.maketrans(b"ACGTacgt", b"TGCAtgca")
 
 
 def sequence_tiles(contigs: DataFrame, tile: int = TILE, context: int = CONTEXT) -> DataFrame:
-    """contig_id, strand, tile_start, length, left (letters of context before the tile), piece.
+    """contig_id, strand, tile_start, length, left (letters of context before the tile), size, piece.
 
-    The reverse strand is tiled in its own direction.  A long contig becomes many rows, so none is
-    scored by one task.
+    The reverse strand is tiled in its own direction.  A long contig becomes many rows in one pass over its
+    letters, so none is scored by one task; empty and null sequences give no tile.
     """
     half = context // 2
-    both = contigs.select("contig_id", "seq", F.explode(F.array(F.lit(1).cast("tinyint"), F.lit(-1).cast("tinyint"))).alias("strand"), F.length("seq").alias("length"))
-    from locusframe.functions.seq import reverse_complement
 
-    both = both.withColumn("seq", F.when(F.col("strand") == -1, reverse_complement("seq")).otherwise(F.col("seq")))
-    tiles = both.filter("length > 0").withColumn("tile_start", F.explode(F.sequence(F.lit(0), F.col("length") - 1, F.lit(tile))))
-    first = F.greatest(F.col("tile_start") - half, F.lit(0))
-    return tiles.select("contig_id", "strand", F.col("tile_start").cast("bigint").alias("tile_start"), "length", (F.col("tile_start") - first).alias("left"), F.col("seq").substr(first + 1, F.least(F.lit(tile), F.col("length") - F.col("tile_start")) + F.col("tile_start") - first + half).alias("piece"), F.least(F.lit(tile), F.col("length") - F.col("tile_start")).alias("size"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            held = 0
+            for contig, seq in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = (seq or "").encode()
+                for strand in (1, -1):
+                    turned = own if strand == 1 else own.translate(_COMPLEMENT)[::-1]
+                    for start in range(0, len(own), tile):
+                        first, size = max(0, start - half), min(tile, len(own) - start)
+                        rows.append((contig, strand, start, len(own), start - first, size, turned[first : start + size + half]))
+                        held += size
+                        if held >= BATCH:
+                            yield batch(rows, b)
+                            rows, held = [], 0
+            if rows:
+                yield batch(rows, b)
+
+    def batch(rows: list[tuple], like: pa.RecordBatch) -> pa.RecordBatch:
+        kinds = [like.schema.field(0).type, pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["contig_id", "strand", "tile_start", "length", "left", "size", "piece"])
+
+    kind = contigs.schema["contig_id"].dataType.simpleString()
+    return contigs.select("contig_id", "seq").mapInArrow(run, f"contig_id {kind}, strand tinyint, tile_start bigint, length bigint, left int, size int, piece string")
 
 
 def scored(tiles: DataFrame, make_scorer: Callable[[], Scorer], context: int = CONTEXT) -> DataFrame:
-    """Scores of every tile: contig_id, strand, tile_start, p (array of seven float arrays).
+    """Scores of every tile: contig_id, strand, tile_start, length, letters, p (array of seven float arrays).
 
-    ``make_scorer`` is called once a task and gives a function from letters (with half the context of N
-    on either side) to a matrix [7, letters without the context].  A model file is loaded there.
+    ``make_scorer`` is called once a task and gives a function from letters (with half the ``context`` of N
+    on either side) to a matrix [7, letters without the context]; any other shape is a ValueError.  A model
+    file is loaded there.
     """
     half = context // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = make_scorer()
         for b in batches:
-            out = []
+            letters, flat, sizes = [], [], []
             for left, size, piece in zip(b.column("left").to_pylist(), b.column("size").to_pylist(), b.column("piece").to_pylist()):
                 whole = np.asarray(score("N" * half + piece + "N" * half), np.float32)
-                out.append([row[left : left + size].tolist() for row in whole])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("contig_id", "strand", "tile_start")), pa.array(out, pa.list_(pa.list_(pa.float32())))], names=["contig_id", "strand", "tile_start", "p"])
+                if whole.shape != (7, len(piece)):
+                    raise ValueError(f"a scorer gave {whole.shape} for 7 classes of {len(piece)} letters with a context of {context}")
+                letters.append(piece[left : left + size])
+                flat.append(np.ascontiguousarray(whole[:, left : left + size]).ravel())
+                sizes += [size] * 7
+            inner = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate(flat) if flat else np.empty(0, np.float32)))
+            p = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sizes) + 1, 7), pa.int32()), inner)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("contig_id", "strand", "tile_start", "length")), pa.array(letters, pa.string()), p], names=["contig_id", "strand", "tile_start", "length", "letters", "p"])
 
     kind = tiles.schema["contig_id"].dataType.simpleString()
-    return tiles.mapInArrow(run, f"contig_id {kind}, strand tinyint, tile_start bigint, p array<array<float>>")
+    return tiles.mapInArrow(run, f"contig_id {kind}, strand tinyint, tile_start bigint, length bigint, letters string, p array<array<float>>")
+
 
+def signed_values(a: np.ndarray, b: np.ndarray, least: float, digits: int = 2) -> np.ndarray:
+    """``a`` where it is the greater one, else -``b``; rounded, and zero below ``least`` in size."""
+    v = np.round(np.where(a > b, a, -b).astype(np.float64), digits)
+    return np.where(np.abs(v) >= least, v, 0.0)
 
-def events(tracks: DataFrame, thresholds: dict[int, float]) -> DataFrame:
-    """contig_id, strand, pos, type, score of every position whose score reaches its type's threshold.
 
-    ``thresholds``: by event type.  The arrays of a batch are compared as a whole, without a copy; only
-    passing positions become rows.  Null scores pass no threshold.
+def segments(tracks: DataFrame, pairs: dict[str, tuple[int, int, float]]) -> DataFrame:
+    """track, contig_id, seg_start, seg_end, value: runs of equal signed values in forward coordinates; zero runs are left out.
+
+    ``pairs``: by name the two classes (from 0) and the least size of a value; ``track`` is the name and + or -.
+    Runs are found inside the tiles in one pass; only those at a tile's border meet in a window of their
+    contig (at most two for each tile and track) and are put together there.
     """
-    types = list(thresholds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, pos, kind, score = [], [], [], []
-            first = np.asarray(b.column(2))
-            for c, t in enumerate(types, 3):
-                lists = b.column(c)
-                flat, offsets = np.asarray(lists.flatten()), np.asarray(lists.offsets) - lists.offsets[0].as_py()
-                at = np.flatnonzero(flat >= np.float32(thresholds[t]))
-                row = np.searchsorted(offsets, at, "right") - 1
-                rows.append(row)
-                pos.append(first[row] + at - offsets[row])
-                kind.append(np.full(len(at), t, np.int8))
-                score.append(flat[at].astype(np.float64))
-            take = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *(pa.array(np.concatenate(x)) for x in (pos, kind, score))], names=["contig_id", "strand", "pos", "type", "score"])
-
-    own = tracks.select("contig_id", "strand", "tile_start", *[F.col("p")[S.EVENT_CLASS[t]].cast("array<float>").alias(f"t{t}") for t in types])
-    return own.mapInArrow(run, f"contig_id {tracks.schema['contig_id'].dataType.simpleString()}, strand tinyint, pos bigint, type tinyint, score double")
-
-
-def capped_events(found: DataFrame, region: list[str], score: str = "score", percentile: float = 0.6, ceiling: float = 0.1, floor: int = 15, cap: int = 60, tie: list[str] | None = None) -> DataFrame:
-    """The events of each region and type that a search considers.
-
-    Exon starts and ends at or above min(percentile, ceiling); if these are fewer than ``floor`` or more than
-    ``cap``, so many of the highest scores instead, ties by position.  All CDS ends and the first CDS start stay.
-    """
-    tie = tie or ["pos"]
-    kind = Window.partitionBy(*region, "type")
-    p = F.least(F.percentile(score, percentile).over(kind), F.lit(ceiling))
-    down = F.row_number().over(kind.orderBy(F.desc(score), *tie))
-    first = F.row_number().over(kind.orderBy(*tie))
-    passing = F.count_if(F.col(score) >= F.col("_cut")).over(kind)
-    rows = found.withColumn("_cut", p).withColumn("_down", down).withColumn("_first", first).withColumn("_n", passing)
-    exon = F.col("type").isin(S.EXON_START, S.EXON_END)
-    keep = F.when(~exon, (F.col("type") == S.CDS_END) | (F.col("_first") == 1)).when(F.col("_n") < floor, F.col("_down") <= floor).when(F.col("_n") > cap, F.col("_down") <= cap).otherwise(F.col(score) >= F.col("_cut"))
-    return rows.filter(keep).drop("_cut", "_down", "_first", "_n")
-
-
-def segments(scores: DataFrame, group: list[str], position: str, value: str, tile: int | None = None) -> DataFrame:
-    """Runs of equal values: group, seg_start, seg_end (half-open), ``value``; runs of zero are left out.
-
-    ``scores`` hold every position once.  Runs are found inside blocks of positions and joined where a
-    block's first run goes on with the value of the last run before; blocks pass on one row each.
-    """
-    block = tile or 1 << 16
-    rows = scores.withColumn("_b", F.floor(F.col(position) / block))
-    order = Window.partitionBy(*group, "_b").orderBy(position)
-    change = (F.lag(value).over(order).isNull() | (F.lag(value).over(order) != F.col(value)) | (F.lag(position).over(order) != F.col(position) - 1)).cast("int")
-    runs = rows.withColumn("_r", F.sum(change).over(order)).groupBy(*group, "_b", "_r").agg(F.min(position).alias("s"), (F.max(position) + 1).alias("e"), F.first(value).alias(value))
-    runs = runs.filter(F.col(value) != 0)
-    # only runs at block borders can go on: at most two a block meet in the window of their group, each other run is alone
-    border = (F.col("s") == F.col("_b") * block) | (F.col("e") == (F.col("_b") + 1) * block)
-    solo = F.when(~border, F.struct("_b", "_r"))
-    line = Window.partitionBy(*group, solo).orderBy("s")
-    runs = runs.withColumn("_new", F.coalesce((F.lag("e").over(line) != F.col("s")) | (F.lag(value).over(line) != F.col(value)), F.lit(True)).cast("int"))
-    joined = runs.withColumn("_solo", solo).withColumn("_g", F.sum("_new").over(line)).drop("_new")
-    return joined.groupBy(*group, "_solo", "_g").agg(F.min("s").alias("seg_start"), F.max("e").alias("seg_end"), F.first(value).alias(value)).drop("_solo", "_g")
-
-
-def signed_value(a: Column, b: Column, least: float, digits: int = 2) -> Column:
-    """``a`` if it is the greater one, else -``b``; rounded, and zero below ``least`` in size."""
-    v = F.bround(F.when(a > b, a).otherwise(-b), digits)
-    return F.when(F.abs(v) >= least, v).otherwise(F.lit(0.0))
-
-
-def stretch_sum(track: Column, start: Column, end: Column) -> Column:
-    """Sum of an array over [start, end) counted from 0."""
-    return F.aggregate(F.slice(track, start.cast("int") + 1, (end - start).cast("int")), F.lit(0).cast("double"), lambda a, x: a + x)
-
-
-def exon_validity(is_exon: Column, is_intron: Column, start: Column, end: Column) -> Column:
-    """Whether the exon track's mean is above the intron track's over [start, end); false if empty."""
-    return (end > start) & (stretch_sum(is_exon, start, end) > stretch_sum(is_intron, start, end))
+            out: list[tuple] = []
+            for contig, strand, first, length, p in zip(*(b.column(i).to_pylist() for i in range(4)), b.column(4)):
+                rows = [np.asarray(x.values) for x in p.values]
+                for name, (i, j, least) in pairs.items():
+                    v = signed_values(rows[i], rows[j], least)
+                    start = np.concatenate([[0], np.flatnonzero(v[1:] != v[:-1]) + 1]) if len(v) else np.empty(0, np.int64)
+                    end = np.concatenate([start[1:], [len(v)]])
+                    keep = np.flatnonzero(v[start] != 0) if len(v) else start
+                    start, end, value = start[keep], end[keep], v[start[keep]]
+                    border = (start == 0) | (end == len(v))
+                    low, high = (first + start, first + end) if strand == 1 else (length - first - end, length - first - start)
+                    out.append((f"{name}{'+' if strand == 1 else '-'}", contig, low, high, value, border))
+            if out:
+                times = [len(o[2]) for o in out]
+                at = pa.array(np.repeat(np.arange(len(out)), times))
+                named = [pa.array([o[0] for o in out], pa.string()).take(at), pa.array([o[1] for o in out], b.schema.field(0).type).take(at)]
+                yield pa.RecordBatch.from_arrays([*named, *(pa.array(np.concatenate([o[k] for o in out])) for k in range(2, 6))], names=["track", "contig_id", "seg_start", "seg_end", "value", "border"])
+
+    kind = tracks.schema["contig_id"].dataType.simpleString()
+    runs = write_once(tracks.select("contig_id", "strand", "tile_start", "length", "p").mapInArrow(run, f"track string, contig_id {kind}, seg_start bigint, seg_end bigint, value double, border boolean"))
+    line = Window.partitionBy("track", "contig_id").orderBy("seg_start")
+    ends = runs.filter("border").withColumn("_new", F.coalesce((F.lag("seg_end").over(line) != F.col("seg_start")) | (F.lag("value").over(line) != F.col("value")), F.lit(True)).cast("int"))
+    joined = ends.withColumn("_g", F.sum("_new").over(line)).groupBy("track", "contig_id", "_g").agg(F.min("seg_start").alias("seg_start"), F.max("seg_end").alias("seg_end"), F.first("value").alias("value"))
+    return runs.filter("not border").drop("border").unionByName(joined.drop("_g"))
 
 
 class Prefix:

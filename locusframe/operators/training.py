@@ -149,12 +149,18 @@ def label_raster(rows: DataFrame, key: str) -> DataFrame:
     return ready.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, labels string")
 
 
+def seeded(key: str, seed: int) -> Column:
+    """A value whose order is a permutation of the keys: the same for one seed, another for each."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+
+
 def sampled(df: DataFrame, key: str, group: str, per_group: int, seed: int = 0, total: int | None = None) -> DataFrame:
     """At most ``per_group`` rows of each group, and ``total`` of all, by a seeded hash order.
 
-    The order is the same however rows are laid out; it isn't that of any other program's generator.
+    The order (of md5 sums of seed and key) is the same however rows are laid out; it isn't that of any
+    other program's generator.
     """
-    order = F.xxhash64(F.lit(seed), F.col(key))
+    order = seeded(key, seed)
     ranked = df.withColumn("_h", order).withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy("_h", key)))
     kept = ranked.filter(F.col("_r") <= per_group).drop("_r")
     if total is not None:

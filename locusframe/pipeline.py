@@ -19,6 +19,10 @@ DYNAMIC_FROM = 100_000
 SEGMENT_LEAST = {"cds": 0.01, "exon": 0.01, "inside": 0.2}
 
 
+#: The two classes of each track of raw segments.
+SEGMENT_TRACKS = {"cds": (3, 4), "exon": (1, 2), "inside": (5, 6)}
+
+
 @dataclass
 class Prediction:
     contigs: DataFrame
@@ -29,10 +33,10 @@ class Prediction:
 
 
 def score_tracks(contigs: DataFrame, params: Params, make_scorer=None) -> DataFrame:
-    tiles = tracks.sequence_tiles(contigs, params.tile, tracks.CONTEXT)
+    tiles = tracks.sequence_tiles(contigs, params.tile, params.context_length)
     if params.strand != Strand.BOTH:
         tiles = tiles.filter(F.col("strand") == (1 if params.strand == Strand.FORWARD else -1))
-    return tracks.scored(tiles, make_scorer or scorers.scorer_of(params.model), tracks.CONTEXT)
+    return tracks.scored(tiles, make_scorer or scorers.scorer_of(params.model, params.context_length), params.context_length)
 
 
 def variants(t: DataFrame) -> DataFrame:
@@ -55,7 +59,7 @@ def predict(contigs: DataFrame, params: Params, make_scorer=None) -> Prediction:
     A transcript below the threshold is left out before genes are made, so a locus can lose isoforms.
     """
     scored = score_tracks(contigs, params, make_scorer)
-    calls = write_once(calling.candidate_calls(scored, contigs.select("contig_id", "seq"), params))
+    calls = write_once(calling.candidate_calls(scored, params))
     made = cut_lineage(calling.transcripts(calling.selected_calls(calls, params), contigs))
     if not params.allow_opposite_strand_overlaps:
         numbered = made.withColumn("_k", F.monotonically_increasing_id())
@@ -85,19 +89,7 @@ def raw_segments(contigs: DataFrame, params: Params, least: dict[str, float] | N
     Scores below the ``least`` of their pair (SEGMENT_LEAST) count as zero.
     """
     least = SEGMENT_LEAST if least is None else least
-    scored = score_tracks(contigs, params, make_scorer).join(contigs.select("contig_id", "length"), "contig_id")
-    pairs = {"cds": (4, 5), "exon": (2, 3), "inside": (6, 7)}
-    out = None
-    for name, (a, b) in pairs.items():
-        zipped = F.arrays_zip(F.col("p")[a - 1].alias("a"), F.col("p")[b - 1].alias("b"))
-        rows = scored.select("contig_id", "strand", "tile_start", "length", F.posexplode(zipped))
-        at = F.col("tile_start") + F.col("pos")
-        place = F.when(F.col("strand") == 1, at).otherwise(F.col("length") - 1 - at)
-        value = tracks.signed_value(F.col("col.a").cast("double"), F.col("col.b").cast("double"), least[name])
-        named = rows.select(F.concat(F.lit(name), F.when(F.col("strand") == 1, "+").otherwise("-")).alias("track"), "contig_id", place.alias("pos"), value.alias("value"))
-        runs = tracks.segments(named, ["track", "contig_id"], "pos", "value")
-        out = runs if out is None else out.unionByName(runs)
-    return out
+    return tracks.segments(score_tracks(contigs, params, make_scorer), {name: (a, b, least[name]) for name, (a, b) in SEGMENT_TRACKS.items()})
 
 
 def training_run(spark: SparkSession, gff: str, sequences: str, out: str, allowed: str | None = None, threshold: float = 0.9) -> str:

@@ -78,11 +78,6 @@ def o_gff_rows(spark, d):
     return G.gff_rows(record_transcripts(spark, d))
 
 
-def o_percentile(spark, d):
-    """Exact 60th percentile of the scores of each variant and the cut that events get from it."""
-    return calls(spark, d).groupBy("transcript_variant").agg(F.round(F.percentile("score", 0.6), 9).alias("p60"), F.round(F.least(F.percentile("score", 0.6), F.lit(0.1)), 9).alias("cut"))
-
-
 def _labelled(spark, d):
     return calls(spark, d).withColumn("y", F.coalesce(F.col("transcript_variant") == "PRIMARY", F.lit(False)))
 
@@ -157,7 +152,6 @@ SELECT gene_id, CAST(0 AS BIGINT) AS row_no, chrom AS seqid, 'locusframe' AS sou
 UNION ALL SELECT gene_id, 100000, chrom, 'locusframe', 'mRNA', e[1].start, e[-1].end, sc, st, '.', 'ID=' || gene_id || '_mRNA1;Parent=' || gene_id || ';TranscriptVariant=PRIMARY' FROM q
 UNION ALL SELECT gene_id, 100000 + 2 * i - 1, chrom, 'locusframe', 'exon', o[i].start, o[i].end, sc, st, '.', 'ID=' || gene_id || '_mRNA1_exon' || i || ';Parent=' || gene_id || '_mRNA1' FROM f
 UNION ALL SELECT gene_id, 100000 + 2 * i, chrom, 'locusframe', 'CDS', o[i].start, o[i].end, sc, st, CAST(CAST(ph AS INT) AS VARCHAR), 'ID=' || gene_id || '_mRNA1_CDS' || i || ';Parent=' || gene_id || '_mRNA1' FROM f""",
-    "o_percentile": _L + "SELECT transcript_variant, round(quantile_cont(score, 0.6), 9) AS p60, round(least(quantile_cont(score, 0.6), 0.1), 9) AS cut FROM c GROUP BY 1",
     "o_topkl": _L + """, y AS (SELECT *, coalesce(transcript_variant = 'PRIMARY', false) AS y FROM c), t AS (SELECT count(*) FILTER (y) AS p, count(*) AS n FROM y),
 r AS (SELECT *, row_number() OVER (ORDER BY score DESC, call_id) AS rn FROM y), k AS (SELECT unnest([0.5, 1.0, 2.0, 4.0])::DOUBLE AS k), j AS (SELECT k, least(CAST(floor(k * p) AS BIGINT), n) AS taken, p FROM k, t)
 SELECT k, taken, round(count(*) FILTER (y) / least(taken, any_value(p)), 9) AS accuracy, min(score) AS threshold FROM j LEFT JOIN r ON rn <= taken GROUP BY k, taken""",

@@ -15,18 +15,16 @@ from locusframe.params import Params
 from locusframe.session import read_table, write_once
 
 
+PARAMS = Params()
+
+
 def _records(spark, d):
     t = read_table(spark, d, "datafile").filter(F.length("seq") > 0)
     return t.select("rec_id", "seq", "seq_start", "strand", "jn_start", "jn_end").dropDuplicates(["rec_id"])
 
 
-def milli(c: int, letter, pos):
-    """A made score of class ``c`` in thousandths."""
-    return (pos * (37 + 2 * c) + F.ascii(letter) * (11 + c) + F.col("rec_id") * 7 + c * 101) % 1000
-
-
-def milli_tracks(spark, d, divisor: int = 1000):
-    """Records as contigs with made tracks; the same whole numbers as ``milli`` over the divisor."""
+def made_tracks(spark, d, divisor: int = 1000, tile: int | None = None):
+    """Records as contigs with made tracks: whole numbers over the divisor; see ``_m`` for the SQL."""
 
     def run(batches):
         for b in batches:
@@ -44,23 +42,65 @@ def milli_tracks(spark, d, divisor: int = 1000):
 
     rows = _records(spark, d).select("rec_id", F.upper("seq").alias("u"), "seq_start", "jn_start", "jn_end")
     made = rows.mapInArrow(run, f"rec_id bigint, {', '.join(f'p{i} array<float>' for i in range(7))}, seq_start bigint, jn_start string, jn_end string")
-    return made.select(F.col("rec_id").alias("contig_id"), F.lit(1).cast("tinyint").alias("strand"), F.lit(0).cast("bigint").alias("tile_start"), F.array(*[F.col(f"p{i}") for i in range(7)]).alias("p"), "rec_id", "seq_start", "jn_start", "jn_end")
+    p = F.array(*[F.col(f"p{i}") for i in range(7)])
+    made = made.select(F.col("rec_id").alias("contig_id"), F.lit(1).cast("tinyint").alias("strand"), F.lit(0).cast("bigint").alias("tile_start"), F.size("p0").cast("bigint").alias("length"), p.alias("p"), "rec_id", "seq_start", "jn_start", "jn_end")
+    if tile is None:
+        return made
+    parts = made.withColumn("tile_start", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(tile).cast("bigint"))))
+    return parts.withColumn("p", F.transform("p", lambda x: F.slice(x, F.col("tile_start").cast("int") + 1, F.lit(tile))))
+
 
+def _per_record(tracks_, solve, schema: str):
+    """Rows that ``solve`` (record, score matrix) gives for each record."""
 
-LEAST = {S.CDS_START: 0.985, S.CDS_END: 0.98, S.EXON_START: 0.97, S.EXON_END: 0.96}
+    def run(batches):
+        for b in batches:
+            out = [(rec, *row) for i, rec in enumerate(b.column(0).to_pylist()) for row in solve(rec, np.stack([np.asarray(b.column(1 + c)[i].values) for c in range(7)]))]
+            kinds = [pa.int64() if k == "bigint" else pa.float64() if k == "double" else pa.int32() for k in (f.split()[1] for f in schema.split(", "))]
+            names = [f.split()[0] for f in schema.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * len(kinds), kinds)], names=names)
 
+    return tracks_.select("rec_id", *[F.col("p")[i].alias(f"p{i}") for i in range(7)]).mapInArrow(run, schema)
 
-def _events(spark, d):
-    return tracks.events(milli_tracks(spark, d), LEAST)
+
+_EVENT_SUMS = "rec_id bigint, type int, events bigint, positions bigint, ms bigint, mixed bigint"
+
+
+def _event_sums(pos, kind, score):
+    ms = np.round(score * 1000).astype(np.int64)
+    for t in range(4):
+        at = kind == t
+        if at.any():
+            yield t, int(at.sum()), int(pos[at].sum()), int(ms[at].sum()), int(((pos[at] % 9973) * ms[at]).sum())
 
 
 def o_event_extract(spark, d):
-    return _events(spark, d).select(F.col("contig_id").alias("rec_id"), "pos", F.col("type").cast("int").alias("type"), F.round(F.col("score") * 1000).cast("int").alias("ms"))
+    """All events of the made tracks at the production thresholds, summed by record and type."""
+    return _per_record(made_tracks(spark, d), lambda rec, p: _event_sums(*calling.sorted_events(p, PARAMS.thresholds())), _EVENT_SUMS)
 
 
 def o_event_cap(spark, d):
-    rows = o_event_extract(spark, d).withColumn("score", F.col("ms") / 1000)
-    return tracks.capped_events(rows, ["rec_id"], ceiling=0.99, floor=5, cap=20).select("rec_id", "pos", "type", "ms")
+    """The events that a search over a whole record from its first CDS start on considers, summed."""
+
+    def solve(rec, p):
+        pos, kind, score = calling.sorted_events(p, PARAMS.thresholds())
+        first = int(np.argmax(kind == S.CDS_START))
+        if not len(kind) or kind[first] != S.CDS_START:
+            return ()
+        own = first + calling.considered(pos[first:], kind[first:], score[first:])
+        return _event_sums(pos[own], kind[own], score[own])
+
+    return _per_record(made_tracks(spark, d), solve, _EVENT_SUMS)
+
+
+def o_percentile(spark, d):
+    """The 60th percentile of the exon events' scores of each record and type."""
+
+    def solve(rec, p):
+        _, kind, score = calling.sorted_events(p, PARAMS.thresholds())
+        return [(t, round(calling.percentile(score[kind == t]), 5)) for t in (S.EXON_START, S.EXON_END) if (kind == t).any()]
+
+    return _per_record(made_tracks(spark, d), solve, "rec_id bigint, type int, p60 double")
 
 
 def _exons():
@@ -70,16 +110,25 @@ def _exons():
 
 def o_exon_validity(spark, d):
     """Exons inside their record whose exon track lies above the intron track."""
-    t = milli_tracks(spark, d).withColumn("n", F.size(F.col("p")[0]))
-    rows = t.select("rec_id", "n", F.col("p")[5].alias("x"), F.col("p")[6].alias("y"), F.posexplode(_exons()))
-    milli_of = lambda c: F.transform(c, lambda v: F.round(v * 1000).cast("double"))
-    inside = rows.filter("col.start >= 0 and col.end <= n")
-    return inside.select("rec_id", F.col("pos").alias("exon_no"), tracks.exon_validity(milli_of("x"), milli_of("y"), F.col("col.start"), F.col("col.end")).alias("valid"))
+    t = made_tracks(spark, d, 1).withColumn("x", _exons())
+    rows = t.select("rec_id", *[F.col("p")[i].alias(f"p{i}") for i in range(7)], F.col("x.start").alias("s"), F.col("x.end").alias("e"))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for i, rec in enumerate(b.column(0).to_pylist()):
+                prefix = tracks.Prefix(np.stack([np.asarray(b.column(1 + c)[i].values) for c in range(7)]))
+                spans = zip(b.column(8)[i].as_py() or (), b.column(9)[i].as_py() or ())
+                out += [(rec, k, prefix.exon_minus_intron(s, e) > 0) for k, (s, e) in enumerate(spans) if 0 <= s <= e <= prefix.p.shape[1]]
+            cols = list(zip(*out)) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.bool_()))], names=["rec_id", "exon_no", "valid"])
+
+    return rows.mapInArrow(run, "rec_id bigint, exon_no int, valid boolean")
 
 
 def o_call_score(spark, d):
     """Score of each record's exon structure as one call."""
-    t = milli_tracks(spark, d, 1).withColumn("x", _exons()).withColumn("n", F.size(F.col("p")[0]))
+    t = made_tracks(spark, d, 1).withColumn("x", _exons()).withColumn("n", F.size(F.col("p")[0]))
     t = t.filter((F.size("x") > 0) & ~F.exists("x", lambda e: (e["start"] < 0) | (e["end"] > F.col("n"))))
     rows = t.select("rec_id", *[F.col("p")[i].alias(f"p{i}") for i in range(7)], F.col("x.start").alias("s"), F.col("x.end").alias("e"))
 
@@ -97,26 +146,29 @@ def o_call_score(spark, d):
 
 
 def o_segments(spark, d):
-    """Runs of the signed exon or intron track in tenths, from nine on."""
-    rows = _records(spark, d).select("rec_id", F.posexplode(F.split(F.upper("seq"), "")).alias("pos", "x")).withColumn("pos", F.col("pos").cast("bigint"))
-    a, b = milli(5, F.col("x"), F.col("pos")), milli(6, F.col("x"), F.col("pos"))
-    v = F.when(a > b, F.floor(a / 100)).otherwise(-F.floor(b / 100))
-    rows = rows.select("rec_id", "pos", F.when(F.abs(v) >= 9, v).otherwise(F.lit(0)).alias("value"))
-    return tracks.segments(rows, ["rec_id"], "pos", "value")
+    """Signed runs of the made tracks, scored in tiles of 1,000, summed by track and record."""
+    made = tracks.segments(made_tracks(spark, d, tile=1000), {n: (*c, pipeline.SEGMENT_LEAST[n]) for n, c in pipeline.SEGMENT_TRACKS.items()})
+    value = F.round(F.col("value") * 100).cast("bigint")
+    return made.groupBy("track", F.col("contig_id").alias("rec_id")).agg(
+        F.count(F.lit(1)).alias("runs"), F.sum(F.col("seg_end") - F.col("seg_start")).alias("bases"), F.sum(value).alias("values"), F.sum(value * (F.col("seg_start") % 9973)).alias("starts"), F.sum(value * (F.col("seg_end") % 9973)).alias("ends")
+    )
 
 
 def o_call_diff(spark, d):
     """Exon bounds that a record adds to and takes from the record before it on its contig and strand."""
-    from pyspark.sql import Window
-
     ends = F.transform(Q.exon_pairs(Q.int_list("jn_end"), Q.int_list("jn_start")), lambda e: F.array(F.struct(e["start"].alias("pos"), F.lit(0).alias("type")), F.struct(e["end"].alias("pos"), F.lit(1).alias("type"))))
     rows = read_table(spark, d, "datafile").select("rec_id", "chrom", "strand", "cds_start", F.flatten(ends).alias("call")).distinct()
-    before = F.lag("call").over(Window.partitionBy("chrom", "strand").orderBy("cds_start", "rec_id"))
-    rows = rows.withColumn("ref", before).filter("ref is not null")
-    return rows.select("rec_id", F.size(F.array_except("call", "ref")).alias("added"), F.size(F.array_except("ref", "call")).alias("removed"))
+    order = ["cds_start", "rec_id"]
+    tiles = intervals.range_tiles(rows, ["chrom", "strand", *order])
+    pairs = intervals.carried(tiles, ["chrom", "strand"], order, F.col("call"), "ref", "last").filter("ref is not null").select("rec_id", "ref", "call")
 
+    def run(batches):
+        for b in batches:
+            calls = [[[(e["pos"], e["type"], 0.0) for e in row] for row in b.column(c).to_pylist()] for c in (1, 2)]
+            sizes = [tuple(map(len, isoforms.difference(ref, alt))) for ref, alt in zip(*calls)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([n[k] for n in sizes], pa.int32()) for k in (0, 1))], names=["rec_id", "added", "removed"])
 
-PARAMS = Params()
+    return pairs.mapInArrow(run, "rec_id bigint, added int, removed int")
 
 
 def _contigs(spark, d):
@@ -134,26 +186,28 @@ def r_scored_tiles(spark, d):
 
 def _calls(spark, d):
     c = write_once(_contigs(spark, d))
-    return c, write_once(calling.candidate_calls(pipeline.score_tracks(c, PARAMS), c.select("contig_id", "seq"), PARAMS))
+    return c, write_once(calling.candidate_calls(pipeline.score_tracks(c, PARAMS), PARAMS))
 
 
-def r_region_end(spark, d):
-    """Where the region of every CDS start on the made tracks stops."""
-    rows = milli_tracks(spark, d).select("rec_id", *[F.col("p")[i].alias(f"p{i}") for i in range(7)])
+def o_region_end(spark, d):
+    """Where the regions of made CDS starts (every 97th base) stop, on tracks made in blocks of 30 and 50 bases."""
 
     def run(batches):
         for b in batches:
             ids, starts, stops = [], [], []
-            for i in range(b.num_rows):
-                p = np.stack([np.asarray(b.column(1 + c)[i].values) for c in range(7)])
-                r = calling.Regions(p)
-                for s in np.flatnonzero(p[3] >= np.float32(LEAST[S.CDS_START])):
-                    ids.append(b.column(0)[i].as_py())
-                    starts.append(int(s))
-                    stops.append(r.stop(int(s)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(stops, pa.int64())], names=["rec_id", "start", "stop"])
+            for rec, n in zip(*(c.to_pylist() for c in b.columns)):
+                pos = np.arange(n)
+                p = np.zeros((7, n), np.float32)
+                p[0] = np.where((pos // 30 * 7 + rec) % 41 == 0, 0.9, 0.5)
+                p[5] = np.where((pos // 50 * 13 + pos // 1700 * 5 + rec) % 20 < 15 - pos // 1700 % 9, 0.5, 0.1)
+                regions = calling.Regions(p)
+                own = np.arange(rec % 97, n, 97)
+                ids += [rec] * len(own)
+                starts += own.tolist()
+                stops += [regions.stop(s) for s in own.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, starts, stops)], names=["rec_id", "start", "stop"])
 
-    return rows.mapInArrow(run, "rec_id bigint, start bigint, stop bigint")
+    return _records(spark, d).select("rec_id", F.length("seq").alias("n")).mapInArrow(run, "rec_id bigint, start bigint, stop bigint")
 
 
 def r_enumerate(spark, d):
@@ -186,7 +240,7 @@ def r_isoform_class(spark, d):
     return map_groups(pairs, ["rec_id"], ["alt"], name, schema)
 
 
-def r_opposite_overlaps(spark, d):
+def o_opposite_overlaps(spark, d):
     from locusframe.plans.intervals import calls
 
     return intervals.resolve_opposite_strands(calls(spark, d).filter("strand is not null and contig_id is not null"), "contig_id", "tx_start", "tx_end", "strand", "score", "call_id")
@@ -203,7 +257,7 @@ def r_raw_segments(spark, d):
     return pipeline.raw_segments(write_once(_contigs(spark, d)), PARAMS)
 
 
-def r_sample(spark, d):
+def o_sample(spark, d):
     """A seeded sample of at most 50 records of each genome, as the dataset builder takes it."""
     rows = read_table(spark, d, "datafile").filter("genome_id is not null").select("rec_id", "genome_id").distinct()
     return training.sampled(rows, "rec_id", "genome_id", 50, seed=7)
@@ -217,7 +271,7 @@ def r_datapoints(spark, d):
     return made.select("rec_id", "tile_no", *[times("x", k).alias(f"x{k}") for k in range(5)], *[times("y", k).alias(f"y{k}") for k in range(8)])
 
 
-def r_genes_by_file(spark, d):
+def o_genes_by_file(spark, d):
     """Records of each file of a datafile."""
     return read_table(spark, d, "datafile").select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "rec_id").distinct().groupBy("file").agg(F.count(F.lit(1)).alias("records"))
 
@@ -230,15 +284,34 @@ b AS (SELECT rec_id, unnest(range(0, length(u))) AS pos, unnest(string_split(u,
 _m = lambda c: f"(pos * {37 + 2 * c} + ascii(ch) * {11 + c} + rec_id * 7 + {c * 101}) % 1000"
 _EV = (
     _M
-    + f"""e AS (SELECT rec_id, pos, 0 AS type, CAST({_m(3)} AS INT) AS ms FROM b WHERE {_m(3)} >= 985 UNION ALL SELECT rec_id, pos, 1, CAST({_m(4)} AS INT) FROM b WHERE {_m(4)} >= 980
-UNION ALL SELECT rec_id, pos, 2, CAST({_m(1)} AS INT) FROM b WHERE {_m(1)} >= 970 UNION ALL SELECT rec_id, pos, 3, CAST({_m(2)} AS INT) FROM b WHERE {_m(2)} >= 960)
+    + f"""e AS (SELECT rec_id, pos, 0 AS type, CAST({_m(3)} AS BIGINT) AS ms FROM b UNION ALL SELECT rec_id, pos, 1, {_m(4)} FROM b UNION ALL SELECT rec_id, pos, 2, {_m(1)} FROM b UNION ALL SELECT rec_id, pos, 3, {_m(2)} FROM b),
+v AS (SELECT * FROM e WHERE ms >= 10)
 """
 )
+_SUMS = "SELECT rec_id, CAST(type AS INT) AS type, count(*) AS events, CAST(sum(pos) AS BIGINT) AS positions, CAST(sum(ms) AS BIGINT) AS ms, CAST(sum(pos % 9973 * ms) AS BIGINT) AS mixed FROM {0} GROUP BY rec_id, type"
 SQL = {
-    "o_event_extract": _EV + "SELECT rec_id, pos, type, ms FROM e",
-    "o_event_cap": _EV + """, w AS (SELECT *, least(quantile_cont(ms / 1000.0, 0.6) OVER (PARTITION BY rec_id, type), 0.99) AS cut, row_number() OVER (PARTITION BY rec_id, type ORDER BY ms DESC, pos) AS dn,
-  row_number() OVER (PARTITION BY rec_id, type ORDER BY pos) AS fst FROM e), c AS (SELECT *, count(*) FILTER (ms / 1000.0 >= cut - 1e-12) OVER (PARTITION BY rec_id, type) AS n FROM w)
-SELECT rec_id, pos, type, ms FROM c WHERE CASE WHEN type = 1 THEN true WHEN type = 0 THEN fst = 1 WHEN n < 5 THEN dn <= 5 WHEN n > 20 THEN dn <= 20 ELSE ms / 1000.0 >= cut - 1e-12 END""",
+    "o_event_extract": _EV + _SUMS.format("v"),
+    "o_event_cap": _EV + """, f AS (SELECT rec_id, min(pos) AS first FROM v WHERE type = 0 GROUP BY 1),
+o AS (SELECT v.* FROM v JOIN f USING (rec_id) WHERE (type = 0 AND pos = first) OR (type <> 0 AND pos >= first)),
+w AS (SELECT *, least(quantile_cont(ms, 0.6) OVER (PARTITION BY rec_id, type), 100) AS cut, row_number() OVER (PARTITION BY rec_id, type ORDER BY ms DESC, pos) AS dn FROM o),
+c AS (SELECT *, count(*) FILTER (ms >= cut) OVER (PARTITION BY rec_id, type) AS n FROM w),
+k AS (SELECT * FROM c WHERE type < 2 OR dn <= least(greatest(n, 15), 60)) """ + _SUMS.format("k"),
+    "o_percentile": _EV + "SELECT rec_id, CAST(type AS INT) AS type, round(quantile_cont(ms, 0.6) / 1000, 5) AS p60 FROM v WHERE type >= 2 GROUP BY rec_id, type",
+    "o_region_end": """WITH r AS (SELECT DISTINCT rec_id, length(seq) AS n FROM datafile WHERE length(seq) > 0), b AS (SELECT rec_id, n, unnest(range(0, n)) AS pos FROM r),
+p AS (SELECT *, (pos // 30 * 7 + rec_id) % 41 = 0 AS none, (pos // 50 * 13 + pos // 1700 * 5 + rec_id) % 20 < 15 - pos // 1700 % 9 AS good FROM b),
+c AS (SELECT *, sum(good::INT) OVER w - good::INT AS before, coalesce(max(CASE WHEN good THEN pos END) OVER w, -1) AS last_good, pos - coalesce(max(CASE WHEN NOT none THEN pos END) OVER w, -1) AS run FROM p WINDOW w AS (PARTITION BY rec_id ORDER BY pos)),
+s AS (SELECT rec_id, n, pos, before FROM c WHERE pos % 97 = rec_id % 97 AND pos >= rec_id % 97),
+d AS (SELECT s.rec_id, s.pos, s.before, coalesce(min(q.pos), any_value(s.n)) AS stop FROM s LEFT JOIN (SELECT rec_id, pos FROM c WHERE run >= 20) q ON q.rec_id = s.rec_id AND q.pos >= s.pos + 19 GROUP BY ALL),
+k AS (SELECT rec_id, pos, before, last_good FROM c WHERE NOT good)
+SELECT d.rec_id, d.pos AS start, coalesce(min(k.pos), any_value(d.stop)) AS stop FROM d LEFT JOIN k ON k.rec_id = d.rec_id AND k.pos > d.pos + 300 AND k.pos < d.stop
+  AND ((k.before - d.before) / (k.pos - d.pos) < 0.7 OR k.pos - k.last_good > 200) GROUP BY d.rec_id, d.pos""",
+    "o_opposite_overlaps": """WITH c AS (SELECT DISTINCT call_id, contig_id, strand, group_id, tx_start, tx_end, score, n_exons, transcript_variant FROM transcripts
+  WHERE score IS NOT NULL AND NOT isnan(score) AND tx_start IS NOT NULL AND tx_end IS NOT NULL AND strand IS NOT NULL AND contig_id IS NOT NULL),
+n AS (SELECT call_id, strand, tx_start, tx_end, score, lead({'st': strand, 's': tx_start, 'e': tx_end, 'v': score}) OVER (PARTITION BY contig_id ORDER BY tx_start, tx_end, score DESC, call_id) AS nx FROM c)
+SELECT call_id FROM n WHERE NOT coalesce(nx.st <> strand AND nx.s < tx_end AND tx_start < nx.e AND nx.v > score, false)""",
+    "o_sample": """WITH r AS (SELECT DISTINCT rec_id, genome_id FROM datafile WHERE genome_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY genome_id ORDER BY md5('7:' || rec_id), rec_id) AS n FROM r) SELECT rec_id, genome_id FROM o WHERE n <= 50""",
+    "o_genes_by_file": "SELECT 'datafile.parquet' AS file, count(DISTINCT rec_id) AS records FROM datafile",
     "o_exon_validity": _M + f"""q AS (SELECT rec_id, length(u) AS n, unnest(exons) AS e, unnest(range(0, len(exons))) AS exon_no FROM x),
 v AS (SELECT rec_id, pos, {_m(5)} - {_m(6)} AS g FROM b)
 SELECT q.rec_id, CAST(exon_no AS INT) AS exon_no, sum(g) > 0 AS valid FROM q JOIN v ON v.rec_id = q.rec_id AND pos >= e.start AND pos < e.end WHERE e.start >= 0 AND e.end <= n GROUP BY 1, 2""",
@@ -250,15 +323,21 @@ s AS (SELECT rec_id, any_value(exons) AS exons, sum(CASE WHEN bd THEN 0 WHEN ex
   sum(CASE WHEN pos = exons[1].start THEN cs ELSE 0 END + CASE WHEN pos = exons[-1].end - 1 THEN ce ELSE 0 END) / 2.0 AS ends,
   sum(len(list_filter(exons[2:], lambda e: e.start = pos)) * a + len(list_filter(exons[1:-2], lambda e: e.end - 1 = pos)) * d) AS inner_sum FROM f GROUP BY 1)
 SELECT rec_id, round((CASE WHEN n > 0 THEN greatest(0, agree / n) ELSE 0 END + CASE WHEN len(exons) > 1 THEN (inner_sum / (2.0 * len(exons) - 2) + ends) / 2 ELSE ends END) / 2000 + 1e-9, 6) AS score FROM s""",
-    "o_segments": _M + f"""v AS (SELECT rec_id, pos, CASE WHEN {_m(5)} > {_m(6)} THEN ({_m(5)}) // 100 ELSE -(({_m(6)}) // 100) END AS v0 FROM b), w AS (SELECT rec_id, pos, CASE WHEN abs(v0) >= 9 THEN v0 ELSE 0 END AS value FROM v),
-g AS (SELECT *, pos - row_number() OVER (PARTITION BY rec_id, value ORDER BY pos) AS k FROM w WHERE value <> 0)
-SELECT rec_id, min(pos) AS seg_start, max(pos) + 1 AS seg_end, value FROM g GROUP BY rec_id, value, k""",
+    "o_segments": _M + "".join(
+        f"""{t}v AS (SELECT rec_id, pos, CASE WHEN {_m(i)} > {_m(j)} THEN 1 ELSE -1 END * round_even(CAST(CAST(greatest({_m(i)}, {_m(j)}) / 1000.0 AS FLOAT) AS DOUBLE) * 100, 0) AS v0 FROM b),
+{t}w AS (SELECT rec_id, pos, CASE WHEN abs(v0) >= {least} THEN CAST(v0 AS BIGINT) ELSE 0 END AS value FROM {t}v),
+{t}g AS (SELECT '{t}+' AS track, rec_id, pos, value, pos - row_number() OVER (PARTITION BY rec_id, value ORDER BY pos) AS k FROM {t}w WHERE value <> 0),
+"""
+        for t, i, j, least in (("cds", 3, 4, 1), ("exon", 1, 2, 1), ("inside", 5, 6, 20))
+    ) + """a AS (SELECT * FROM cdsg UNION ALL SELECT * FROM exong UNION ALL SELECT * FROM insideg),
+s AS (SELECT track, rec_id, min(pos) AS s, max(pos) + 1 AS e, value FROM a GROUP BY track, rec_id, value, k)
+SELECT track, rec_id, count(*) AS runs, CAST(sum(e - s) AS BIGINT) AS bases, CAST(sum(value) AS BIGINT) AS "values", CAST(sum(value * (s % 9973)) AS BIGINT) AS starts, CAST(sum(value * (e % 9973)) AS BIGINT) AS ends FROM s GROUP BY track, rec_id""",
     "o_call_diff": """WITH r AS (SELECT DISTINCT rec_id, chrom, strand, cds_start, jn_start, jn_end FROM datafile),
 c AS (SELECT *, list_concat(list_transform(list_filter(string_split(jn_end, ','), lambda q: q <> ''), lambda q: q || 's'), list_transform(list_filter(string_split(jn_start, ','), lambda q: q <> ''), lambda q: q || 'e')) AS call FROM r),
 p AS (SELECT *, lag(call) OVER (PARTITION BY chrom, strand ORDER BY cds_start, rec_id) AS ref FROM c)
-SELECT rec_id, len(list_filter(list_distinct(call), lambda q: NOT list_contains(ref, q))) AS added, len(list_filter(list_distinct(ref), lambda q: NOT list_contains(call, q))) AS removed FROM p WHERE ref IS NOT NULL""",
+SELECT rec_id, len(list_filter(call, lambda q: NOT list_contains(ref, q))) AS added, len(list_filter(ref, lambda q: NOT list_contains(call, q))) AS removed FROM p WHERE ref IS NOT NULL""",
 }
-ROWS_ONLY = (r_scored_tiles, r_region_end, r_enumerate, r_isoform_select, r_isoform_class, r_opposite_overlaps, r_end_to_end, r_raw_segments, r_sample, r_datapoints, r_genes_by_file)
+ROWS_ONLY = (r_scored_tiles, r_enumerate, r_isoform_select, r_isoform_class, r_end_to_end, r_raw_segments, r_datapoints)
 
 
 def queries():

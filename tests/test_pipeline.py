@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,10 +98,38 @@ def test_layout_changes_nothing(spark):
 
 
 def test_segments(spark):
-    rows = [("t", i, v) for i, v in enumerate([0, 2, 2, -1, 0, 0, 3, 3, 3, 3])]
-    df = spark.createDataFrame(rows, "k string, pos bigint, value int")
-    got = sorted((r.seg_start, r.seg_end, r.value) for r in tracks.segments(df, ["k"], "pos", "value", tile=3).collect())
-    assert got == [(1, 3, 2), (3, 4, -1), (6, 10, 3)]
+    values = [0.0, 0.2, 0.2, -0.1, 0.0, 0.0, 0.3, 0.3, 0.3, 0.3]
+    zero = [0.0] * 10
+    rows = [(strand, i, 10, [[max(0.0, v) for v in values[i : i + 3]], [max(0.0, -v) for v in values[i : i + 3]]] + [zero[:3]] * 5) for strand in (1, -1) for i in (0, 3, 6, 9)]
+    df = spark.createDataFrame(rows, "strand byte, tile_start long, length long, p array<array<float>>").selectExpr("'c' as contig_id", "*").repartition(3)
+    got = sorted((r.track, r.seg_start, r.seg_end, r.value) for r in tracks.segments(df, {"t": (0, 1, 0.1)}).collect())
+    assert got == [("t+", 1, 3, 0.2), ("t+", 3, 4, -0.1), ("t+", 6, 10, 0.3), ("t-", 0, 4, 0.3), ("t-", 6, 7, -0.1), ("t-", 7, 9, 0.2)]
+    assert tracks.segments(df.limit(0), {"t": (0, 1, 0.1)}).count() == 0
+
+
+def test_context_of_a_scorer(spark):
+    """A scorer that looks as far as its context allows gives in tiles what it gives of the whole sequence."""
+
+    def maker(context):
+        def make():
+            def score(padded):
+                code = np.frombuffer(padded.encode(), np.uint8).astype(np.float64)
+                far = np.convolve(code, np.ones(context + 1), "valid")
+                return np.stack([far % (7 + i) for i in range(7)])
+
+            return score
+
+        return make
+
+    df = spark.createDataFrame(genome(), "contig_id string, seq string")
+    whole = {(r.contig_id, r.strand): r.p for r in tracks.scored(tracks.sequence_tiles(df, 10**6, 2000), maker(2000), 2000).collect()}
+    parts = {}
+    for r in sorted(tracks.scored(tracks.sequence_tiles(df, 300, 2000), maker(2000), 2000).collect(), key=lambda r: r.tile_start):
+        for a, b in zip(parts.setdefault((r.contig_id, r.strand), [[] for _ in range(7)]), r.p):
+            a += b
+    assert {k: [list(x) for x in v] for k, v in whole.items()} == parts
+    with pytest.raises(Exception, match="a scorer gave"):
+        tracks.scored(tracks.sequence_tiles(df, 300, 800), maker(2000), 800).count()
 
 
 def test_strict_protein(spark):

@@ -12,9 +12,9 @@ def test_prediction_queries_take_production_parameters():
 def test_raw_segments_keep_faint_scores(spark):
     def scorer():
         def score(padded):
-            p = np.zeros((7, len(padded)), np.float32)
+            p = np.zeros((7, len(padded) - 800), np.float32)
             p[1], p[3], p[5] = 0.05, 0.05, 0.15
-            p[5, : len(padded) // 2] = 0.25
+            p[5, : p.shape[1] // 2] = 0.25
             return p
 
         return score
