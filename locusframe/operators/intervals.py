@@ -7,13 +7,17 @@ the next ones.  So no task holds a whole contig, however large its share of the
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from locusframe.operators.grouped import map_groups
 from locusframe.session import cut_lineage
 
 
@@ -76,39 +80,94 @@ def within_margin(df: DataFrame, group: list[str], score: str, margin: float) ->
     return df.alias("t").join(best.alias("m"), _alike(group, "t", "m")).select("t.*", "m._best").filter(F.col("_best") - F.col(score) <= margin).drop("_best")
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Locus of each different start of a run: a locus holds the starts up to its anchor's end."""
+def _pieces(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[np.ndarray]]]:
+    """Rows with equal first ``keys`` columns, that follow each other, and the arrays of their other columns."""
+    now, held = None, []
     for b in batches:
-        loci = []
-        for starts, ends in zip(b.column("_starts"), b.column("_ends")):
-            s, e = np.asarray(starts.values), np.asarray(ends.values)
-            locus, i, k = np.empty(len(s), np.int64), 0, 0
+        names = list(zip(*(b.column(k).to_pylist() for k in range(keys))))
+        rest = [np.asarray(c) for c in b.columns[keys:]]
+        cuts = [i for i in range(1, len(names)) if names[i] != names[i - 1]]
+        for x, y in zip([0, *cuts], [*cuts, len(names)]):
+            if x == y:
+                continue
+            if names[x] != now and held:
+                yield now, [np.concatenate(c) for c in zip(*held)]
+                held = []
+            now = names[x]
+            held.append([c[x:y] for c in rest])
+    if held:
+        yield now, [np.concatenate(c) for c in zip(*held)]
+
+
+def _next_anchors(s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Of each start, taken for an anchor, the first start after its end; the number of starts if there is none."""
+    return np.maximum(np.arange(1, len(s) + 1), np.searchsorted(s, e, "right"))
+
+
+def _passages(kinds: list[pa.DataType]):
+    """What a tile makes of an anchor that reaches into it: by the end of that anchor, the end of the last anchor and how many begin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for key, (s, e) in _pieces(batches, len(kinds)):
+            after = _next_anchors(s, e)
+            end, count = e.copy(), np.ones(len(s), np.int64)
+            for i in range(len(s) - 1, -1, -1):
+                if after[i] < len(s):
+                    end[i], count[i] = end[after[i]], count[after[i]] + 1
+            last = np.flatnonzero(np.concatenate([(end[1:] != end[:-1]) | (count[1:] != count[:-1]), [True]]))
+            rows.append((*key, s[last].tolist(), end[last].tolist(), count[last].tolist()))
+        if rows:
+            lists = [pa.list_(pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [*kinds, *lists])], names=[f"c{i}" for i in range(len(kinds) + 3)])
+
+    return run
+
+
+def _numbered_loci(kinds: list[pa.DataType]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, (s, e, reach, before) in _pieces(batches, len(kinds)):
+            after, locus = _next_anchors(s, e), np.full(len(s), before[0] - 1, np.int64)
+            i, number = int(np.searchsorted(s, reach[0], "right")), int(before[0])
             while i < len(s):
-                j = max(i + 1, int(np.searchsorted(s, e[i], "right")))
-                locus[i:j] = k
-                i, k = j, k + 1
-            loci.append(locus)
-        sizes = np.array([0, *map(len, loci)], np.int64)
-        flat = np.concatenate(loci) if loci else np.empty(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists], names=[*b.schema.names[:-1], "_loci"])
+                locus[i : after[i]] = number
+                i, number = int(after[i]), number + 1
+            same = [pa.array([k], t).take(pa.array(np.zeros(len(s), np.int64))) for k, t in zip(key[:-1], kinds)]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(s), pa.array(locus)], names=[f"c{i}" for i in range(len(kinds) + 1)])
+
+    return run
 
 
 def anchor_loci(df: DataFrame, group: list[str], start: str, end: str, score: str, tie: str, out: str = "locus_no") -> DataFrame:
     """Locus of each row inside its ``group``: loci begin with anchors in the order (start, score falling, tie).
 
     The first row is an anchor; the first row that begins after an anchor's last base is the next one.
-    ``end`` is the last base.  Only the best row of each start can be an anchor, so the chain is
-    followed over the different starts, which the length of the group's span bounds.
+    ``end`` is the last base.  Only the best row of each start can be an anchor.  The chain goes through
+    range tiles of the different starts: each tile tells where every anchor that may reach into it leads,
+    the tiles of a group are passed in their order by these, and loci are numbered inside the tiles.
     """
-    best = df.groupBy(*group, start).agg(F.min_by(end, F.struct(-F.col(score), F.col(end), F.col(tie))).alias("_end"))
-    lists = best.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(start).cast("bigint").alias("s"), F.col("_end").cast("bigint").alias("e")))).alias("_x"))
-    lists = lists.select(*group, F.col("_x.s").alias("_starts"), F.col("_x.e").alias("_ends"))
-    kinds = ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in group)
-    found = lists.select(*group, F.col("_starts").alias("_keys"), "_starts", "_ends")
-    found = found.select(*group, "_starts", "_ends").mapInArrow(_anchors, f"{kinds}, _starts array<bigint>, _loci array<bigint>")
-    flat = found.select(*group, F.explode(F.arrays_zip("_starts", "_loci")).alias("x")).select(*group, F.col("x._starts").cast(df.schema[start].dataType).alias(start), F.col("x._loci").alias(out))
-    return df.alias("t").join(flat.alias("m"), _alike([*group, start], "t", "m")).select("t.*", f"m.{out}")
+    best = df.groupBy(*group, F.col(start).cast("bigint").alias("_s")).agg(F.min_by(end, F.struct(-F.col(score), F.col(end), F.col(tie))).cast("bigint").alias("_e"))
+    tiles = range_tiles(best, [*group, "_s"]).select(*group, F.col("_tile").cast("bigint").alias("_tile"), "_s", "_e")
+    keys = [*group, "_tile"]
+    fields = [*(T.StructField(g, df.schema[g].dataType) for g in group), T.StructField("_tile", T.LongType())]
+    kinds = [f.type for f in to_arrow_schema(T.StructType(fields))]
+    lists = [T.StructField(n, T.ArrayType(T.LongType())) for n in ("_last", "_end", "_count")]
+    passages = tiles.sortWithinPartitions(*keys, "_s").mapInArrow(_passages(kinds), T.StructType([*fields, *lists]))
+
+    def through(rows: list[dict]) -> list[tuple]:
+        found, reach, number = [], -(1 << 62), 0
+        for r in rows:
+            found.append((*(r[k] for k in keys), reach, number))
+            k = bisect_right(r["_last"], reach)
+            if k < len(r["_last"]):
+                reach, number = r["_end"][k], number + r["_count"][k]
+        return found
+
+    entries = map_groups(passages, group, ["_tile"], through, T.StructType([*fields, T.StructField("_reach", T.LongType()), T.StructField("_before", T.LongType())]))
+    met = tiles.alias("t").join(entries.alias("m"), _alike(keys, "t", "m")).select("t.*", "m._reach", "m._before").repartition(*keys).sortWithinPartitions(*keys, "_s")
+    loci = met.mapInArrow(_numbered_loci(kinds), T.StructType([*fields[:-1], T.StructField("_s", T.LongType()), T.StructField(out, T.LongType())]))
+    rows = df.withColumn("_s", F.col(start).cast("bigint"))
+    return rows.alias("t").join(loci.alias("m"), _alike([*group, "_s"], "t", "m")).select("t.*", f"m.{out}").drop("_s")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, on: list[str], left_span: tuple[str, str], right_span: tuple[str, str], bin_size: int = 1 << 16) -> DataFrame:

@@ -30,8 +30,20 @@ def build_session(app: str = "locusframe", master: str | None = None, shuffle_pa
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """The shared folder of ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    Where neither is named, a session on one machine gets a temporary one; a cluster is a ValueError, since
+    executors couldn't read each other's folders.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    of_context = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if of_context.isDefined():
+        return of_context.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    return _own_folder()
 
 
 @lru_cache(maxsize=1)

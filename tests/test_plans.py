@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 
 from locusframe import pipeline
@@ -28,3 +30,48 @@ def test_records_with_u_are_contigs(spark, tmp_path):
     rows = [(1, "ACGU", 0, "+", "", ""), (2, "acgunr", 0, "+", "", ""), (3, "ACGT", 0, "+", "", "")]
     spark.createDataFrame(rows, "rec_id bigint, seq string, seq_start bigint, strand string, jn_start string, jn_end string").write.parquet(str(tmp_path / "datafile.parquet"))
     assert {r.contig_ord: r.seq for r in tracks._contigs(spark, str(tmp_path)).collect()} == {1: "ACGT", 2: "ACGTNN", 3: "ACGT"}
+
+
+def chain_by_hand(rows):
+    """Loci of (start, last, score, key) rows by the plain rule."""
+    out, anchor, number = {}, None, -1
+    for s, e, v, k in sorted(rows, key=lambda r: (r[0], -r[2], r[1], r[3])):
+        if anchor is None or s > anchor:
+            anchor, number = e, number + 1
+        out[k] = number
+    return out
+
+
+def strands_by_hand(rows):
+    kept = []
+    for s, e, st, v, k in sorted(rows, key=lambda r: (r[0], r[1], -r[3], r[4])):
+        if kept and kept[-1][2] != st and s < kept[-1][1] and kept[-1][0] < e and v > kept[-1][3]:
+            kept[-1] = (s, e, st, v, k)
+        else:
+            kept.append((s, e, st, v, k))
+    return {r[4] for r in kept}
+
+
+def test_one_contig_over_many_tiles(spark):
+    """All rows on one contig, in 16 range tiles: anchors and strands come out as by one walk."""
+    from locusframe.operators import intervals
+
+    rng = random.Random(4)
+    rows = []
+    for k in range(3000):
+        s = rng.randrange(20_000)
+        rows.append((k, "hot" if k % 50 else "c", s, s + rng.choice([0, 3, 30, 30, 300, 9000]), rng.choice([1, -1]), rng.randrange(9) / 8))
+    df = spark.createDataFrame(rows, "k long, g string, s long, e long, st int, v double").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        loci = {(r.g, r.k): r.locus_no for r in intervals.anchor_loci(df, ["g"], "s", "e", "v", "k").collect()}
+        kept = {r.k for r in intervals.resolve_opposite_strands(df, "g", "s", "e", "st", "v", "k").collect()}
+        assert intervals.anchor_loci(df.limit(0), ["g"], "s", "e", "v", "k").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for g in ("hot", "c"):
+        own = [r for r in rows if r[1] == g]
+        want = chain_by_hand([(s, e, v, k) for k, _, s, e, _, v in own])
+        assert {k: n for (h, k), n in loci.items() if h == g} == want
+        assert kept & set(want) == strands_by_hand([(s, e, st, v, k) for k, _, s, e, st, v in own])
