@@ -40,18 +40,24 @@ def test_top_n(spark):
     df = spark.createDataFrame(rows, "g string, k int, v double, t int, id bigint").selectExpr("*", "1 as _floor", "2 as rank_no").repartition(6)
     want = ranked_by_hand(rows, 5)
     for parts in (20_000, 50, 1):
-        got = sorted((r.id, r.rank_no) for r in topn.top_n(df, ["g", "k"], "v", ["t"], "id", 5, heavy_parts=parts, bins=64).collect())
+        got = sorted((r.id, r.rank_no) for r in topn.top_n(df, ["g", "k"], "v", ["t"], "id", 5, heavy_parts=parts).collect())
         assert got == want
     assert topn.top_n(df.limit(0), ["g", "k"], "v", ["t"], "id", 5).count() == 0
 
 
-def test_floors_cut_a_hot_group(spark):
-    df = spark.range(20_000).selectExpr("'x' as g", "0 as k", "id", "(id * 7919 % 20000) / 20000.0D as v")
+@pytest.mark.parametrize("score", ["(id * 7919 % 20000) / 20000.0D", "if(id = 7, 1e12D, (id * 7919 % 20000) / 20000.0D)", "0.5D + (id * 7919 % 20000) / 1e9D"])
+def test_floors_cut_a_hot_group(spark, score):
+    """Also with an outlier and with scores in a narrow range."""
+    df = spark.range(20_000).selectExpr("'x' as g", "0 as k", "id", f"{score} as v")
     df = df.union(df.limit(500))
-    floors, row_bin = topn.score_floors(df, ["g", "k"], "v", "id", 5)
-    least = floors.first()["_floor"]
-    left = df.filter(row_bin >= least)
-    assert 5 <= left.select("id").distinct().count() < 200
+    least = topn.score_floors(df, ["g", "k"], "v", "id", 5).first()["_floor"]
+    assert 5 <= df.filter(df.v >= least).select("id").distinct().count() < 200
+
+
+def test_many_copies_of_a_winner(spark):
+    df = spark.range(50_000).selectExpr("'x' as g", "0 as k", "if(id < 49000, 1, id) as id", "if(id < 49000, 9.0D, id / 1e6D) as v", "1 as t")
+    got = [(r.id, r.rank_no) for r in topn.top_n(df, ["g", "k"], "v", ["t"], "id", 3).orderBy("rank_no").collect()]
+    assert got == [(1, 1), (49_999, 2), (49_998, 3)]
 
 
 def cuts_by_hand(s, limit, over):
