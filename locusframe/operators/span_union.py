@@ -16,20 +16,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusframe.session import cut_lineage
+from locusframe.session import cut_lineage, workers
 
 TILE_BITS = 20
-SALTS = 16
+#: Spans that wait for their group's end before they are merged to one list.
+WAITING = 1 << 20
 
 
 def merge_runs(group: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Disjoint, not touching spans of each group, by group and start; groups are numbered from 0."""
+    """Disjoint, not touching spans of each group, by group and start; groups are numbered from 0.
+
+    The sort is one that merges the rising runs it finds, so lists put end to end are merged in linear steps.
+    """
     if not len(lo):
         return group, lo, hi
-    order = np.lexsort((lo, group))
-    group, lo, hi = group[order], lo[order], hi[order]
     span = int(hi.max()) - int(lo.min()) + 2
-    if span * (int(group[-1]) + 1) < 1 << 62:
+    narrow = span * (int(group.max()) + 1) < 1 << 62
+    order = np.argsort(lo - lo.min() + group * span, kind="stable") if narrow else np.lexsort((lo, group))
+    group, lo, hi = group[order], lo[order], hi[order]
+    if narrow:
         shifted = hi - lo.min() + group * span
         reach = np.maximum.accumulate(shifted) - group * span + lo.min()
     else:  # coordinates too wide to keep groups apart by a shift
@@ -76,7 +81,10 @@ def _first_lists(n_keys: int, names: list[str], tile_bits: int):
 
 
 def _merge_lists(n_keys: int, names: list[str]):
-    """Merges the lists of equal keys in sorted partitions; the last group waits for the next batch."""
+    """Merges the lists of equal keys in sorted partitions; the last group waits for the next batch.
+
+    What waits is merged whenever it passes WAITING spans, so a group holds its merged list and that much.
+    """
 
     def merged(table: pa.Table) -> pa.RecordBatch:
         b = table.combine_chunks().to_batches()[0]
@@ -101,6 +109,8 @@ def _merge_lists(n_keys: int, names: list[str]):
                     yield merged(table)
                 wait = []
             wait.append(b.slice(cut))
+            if len(wait) > 1 and sum(len(w.column(n_keys).flatten()) for w in wait[1:]) > WAITING:
+                wait = [merged(pa.Table.from_batches(wait))]
         table = pa.Table.from_batches(wait) if wait else None
         if table is not None and table.num_rows:
             yield merged(table)
@@ -108,8 +118,9 @@ def _merge_lists(n_keys: int, names: list[str]):
     return run
 
 
-def tile_lists(df: DataFrame, group: list[str], start: str, end: str, tile_bits: int = TILE_BITS, salts: int = SALTS) -> DataFrame:
+def tile_lists(df: DataFrame, group: list[str], start: str, end: str, tile_bits: int = TILE_BITS, salts: int | None = None) -> DataFrame:
     """One row for each group and tile with spans: _tile and the rising, disjoint _lo and _hi."""
+    salts = salts or workers(df.sparkSession)
     kinds = ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in group)
     lists = f"{kinds}, _tile bigint, _lo array<bigint>, _hi array<bigint>"
     a, b = F.col(start).cast("bigint"), F.col(end).cast("bigint")
@@ -125,7 +136,7 @@ def tile_lists(df: DataFrame, group: list[str], start: str, end: str, tile_bits:
     return first
 
 
-def periods_and_gaps(df: DataFrame, group: list[str], start: str, end: str, tile_bits: int = TILE_BITS, salts: int = SALTS) -> DataFrame:
+def periods_and_gaps(df: DataFrame, group: list[str], start: str, end: str, tile_bits: int = TILE_BITS, salts: int | None = None) -> DataFrame:
     """kind (``period`` or ``gap``), the group, span_start, span_end.
 
     Half-open spans; touching spans are unbroken; a span written backwards is the same span; spans with
