@@ -25,7 +25,7 @@ from locusframe.llm.bpe import VOCABULARY, count_ids
 from locusframe.session import cut_lineage
 
 #: Parts that the items of one length are ranked in; a length may hold any share of all items.
-BUCKETS = 256
+BUCKETS = 4096
 
 
 class Kind(NamedTuple):

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: An assembly gap: the place where an unbroken run of ten or more N begins.
 GAP_BEGIN = "(?<![Nn])(?=[Nn]{10})"
+#: A gap's letters, from its begin.
+GAP_LENGTH = "^[Nn]+"
 
 
 class RangeMax:
@@ -41,7 +43,7 @@ class RangeMax:
         return int(self._better(self.levels[k][lo], self.levels[k][hi - (1 << k)]))
 
 
-def cut(length: int, limit: int, overlap: int, at: np.ndarray, strengths: np.ndarray | None = None) -> list[tuple[int, int]]:
+def cut(length: int, limit: int, overlap: int, at: np.ndarray, strengths: np.ndarray) -> list[tuple[int, int]]:
     """Pieces (start, end) of a string of ``length``; ``at`` holds the rising boundaries.
 
     Each piece but the last ends at the strongest boundary in (start + limit/2, start + limit], the
@@ -49,7 +51,7 @@ def cut(length: int, limit: int, overlap: int, at: np.ndarray, strengths: np.nda
     """
     if 2 * overlap > limit:
         raise ValueError(f"an overlap of {overlap} is more than half of the limit {limit}")
-    best = RangeMax(np.ones(len(at)) if strengths is None else strengths)
+    best = RangeMax(strengths)
     pieces, start = [], 0
     while length - start > limit:
         lo, hi = np.searchsorted(at, [start + limit // 2, start + limit], "right")
@@ -61,18 +63,21 @@ def cut(length: int, limit: int, overlap: int, at: np.ndarray, strengths: np.nda
     return pieces
 
 
-def split_long(df: DataFrame, configs: DataFrame, key: str = "rec_id", text: str = "seq", config: str = "context_length", limit: str = "max_len", default: str = "is_default", boundary: str = GAP_BEGIN) -> DataFrame:
+def split_long(df: DataFrame, configs: DataFrame, key: str = "rec_id", text: str = "seq", config: str = "context_length", limit: str = "max_len", default: str = "is_default", boundary: str = GAP_BEGIN, strength: str | None = None) -> DataFrame:
     """Pieces of every ``text`` longer than the ``limit`` of its ``config``, as offsets.
 
     Columns: key, piece_no (from 1), piece_start, piece_end (0-based, half-open).  ``config`` doubles
     as the overlap; null means the row of ``configs`` marked ``default``.  Null, empty and short texts
     and those whose config isn't listed (or has no limit) give no rows; repeated rows of a key give
     its pieces once; an empty table gives no rows; further columns aren't read.  Texts are searched
-    for boundaries in the JVM and only the distances travel to Python.
+    for boundaries in the JVM and only distances and strengths travel to Python.  All boundaries are equally
+    strong, or as strong as what the pattern ``strength`` matches right after them is long (GAP_LENGTH: the
+    longest gap in reach wins).
     """
     listed = configs.filter(F.col(limit).isNotNull()).groupBy(F.col(config).alias("_config")).agg(F.min(limit).alias("_limit"), F.max(F.coalesce(default, F.lit(False))).alias("_default"))
     fallback = listed.filter("_default").select(F.lit(None).cast("int").alias("_config"), "_limit", F.col("_config").alias("_overlap"))
     listed = listed.filter("_config is not null").select("_config", "_limit", F.col("_config").alias("_overlap")).unionByName(fallback)
+    parts = F.split(text, boundary, -1)
     long_ones = (
         df.select(key, text, config)
         .join(listed, F.col(config).eqNullSafe(F.col("_config")))
@@ -82,16 +87,17 @@ def split_long(df: DataFrame, configs: DataFrame, key: str = "rec_id", text: str
             F.length(text).alias("n"),
             F.col("_limit").cast("int").alias("lim"),
             F.col("_overlap").cast("int").alias("over"),
-            F.transform(F.split(text, boundary, -1), lambda x: F.length(x)).alias("runs"),
+            F.transform(parts, lambda x: F.length(x)).alias("runs"),
+            F.transform(parts, lambda x: F.length(F.regexp_extract(x, strength, 0)) if strength else F.lit(1)).alias("strong"),
         )
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, number, starts, ends = [], [], [], []
-            for i, (n, lim, over, runs) in enumerate(zip(*(b.column(c).to_pylist() for c in range(1, 5)))):
+            for i, (n, lim, over, runs, strong) in enumerate(zip(*(b.column(c).to_pylist() for c in range(1, 6)))):
                 at = np.cumsum(np.array(runs, np.int64))[:-1]
-                for k, (s, e) in enumerate(cut(n, lim, over, at), 1):
+                for k, (s, e) in enumerate(cut(n, lim, over, at, np.array(strong[1:], np.int64)), 1):
                     keys.append(i)
                     number.append(k)
                     starts.append(s)
