@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from locusframe.operators.grouped import map_groups
 from locusframe.operators.intervals import carried, range_tiles
+from locusframe.session import write_once
 
 
 def gene_rollup(df: DataFrame, locus: list[str], start: str, end: str, score: str) -> DataFrame:
@@ -33,23 +36,44 @@ def split_by_primary(df: DataFrame, locus: list[str], start: str, end: str, scor
     first part whose first member they overlap, or begin one; parts are numbered by their least start.
     ``is_primary`` marks the first members, ``place`` the order inside a part.
 
-    The order decides, so a locus is worked on as one group of few transcripts (selection leaves at
-    most five); larger groups take time in proportion to members times parts.
+    Transcripts that no chain of overlaps connects don't meet, so a task works on one connected run of a
+    locus, found along range tiles; first members are disjoint, so a home is found among sorted ones.
     """
-    schema = T.StructType([*df.select(*locus, key).schema.fields, T.StructField(out, T.IntegerType()), T.StructField("place", T.IntegerType())])
+    rows = df.select(*locus, start, end, score, bases, key)
+    order = [start, end, key]
+    tiles = range_tiles(rows, [*locus, *order])
+    seen = carried(tiles, locus, order, F.col(end), "_reach", "max")
+    fresh = (F.col("_reach").isNull() | (F.col(start) >= F.col("_reach"))).cast("bigint")
+    runs = carried(seen, locus, order, fresh, "_run", "sum", inclusive=True).drop("_reach", "_tile")
+    group = [*locus, "_run"]
+    schema = T.StructType([*runs.select(*group, key).schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("place", T.IntegerType())])
 
     def parts(rows: list[dict]) -> list[tuple]:
         found: list[list[dict]] = []
+        firsts: list[tuple] = []  # start, end, part of the first members, rising
         for r in rows:
-            home = next((p for p in found if r[start] < p[0][end] and p[0][start] < r[end]), None)
-            if home is None:
-                found.append([r])
+            k = bisect_left(firsts, (r[start],))
+            k -= k > 0 and firsts[k - 1][1] > r[start]
+            homes = []
+            while k < len(firsts) and firsts[k][0] < r[end]:
+                homes += [firsts[k][2]] if r[start] < firsts[k][1] else []
+                k += 1
+            if homes:
+                found[min(homes)].append(r)
             else:
-                home.append(r)
+                insort(firsts, (r[start], r[end], len(found)))
+                found.append([r])
         found.sort(key=lambda p: min(r[start] for r in p))
-        return [(*(r[g] for g in locus), r[key], n, place) for n, p in enumerate(found) for place, r in enumerate(p)]
+        return [(*(r[g] for g in group), r[key], n, place) for n, p in enumerate(found) for place, r in enumerate(p)]
 
-    return map_groups(df.select(*locus, start, end, score, bases, key), locus, [F.desc(bases), F.desc(score), start, end, key], parts, schema)
+    made = write_once(map_groups(runs, group, [F.desc(bases), F.desc(score), start, end, key], parts, schema))
+    sizes = range_tiles(made.groupBy(*group).agg((F.max("_part") + 1).cast("bigint").alias("_n")), group)
+    before = carried(sizes, locus, ["_run"], F.col("_n"), "_before", "sum").select(*group, "_before")
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(f"t.{g}").eqNullSafe(F.col(f"m.{g}"))
+    joined = made.alias("t").join(before.alias("m"), same)
+    return joined.select(*[f"t.{g}" for g in locus], f"t.{key}", (F.col("_part") + F.coalesce("_before", F.lit(0))).cast("int").alias(out), "place")
 
 
 def gff_rows(transcripts: DataFrame, source: str = "locusframe") -> DataFrame:
@@ -80,3 +104,22 @@ def gff_rows(transcripts: DataFrame, source: str = "locusframe") -> DataFrame:
     )
     rows = F.concat(F.coalesce(gene, F.slice(mrna_row, 1, 0)), mrna_row, parts)
     return transcripts.select(F.col("contig_id").alias("seqid"), F.lit(source).alias("source"), strand.alias("strand"), "gene_id", F.inline(rows)).select("gene_id", "row_no", "seqid", "source", "feature_type", "start", "end", "score", "strand", "phase", "attributes")
+
+
+def violations(transcripts: DataFrame, genes: DataFrame, gene: list[str]) -> DataFrame:
+    """``what`` and ``rows``: how often each rule of structure is broken.
+
+    A transcript has an exon and its exons lie inside it; a gene has a transcript and its transcripts lie
+    inside it.  ``transcripts``: the ``gene`` columns, start, end, exons (start, end); ``genes``: the same
+    columns, gene_start, gene_end.
+    """
+    rules = {
+        "transcript without exon": F.size("exons") <= 0,
+        "exon outside its transcript": F.exists("exons", lambda x: (x["start"] < F.col("start")) | (x["end"] > F.col("end")) | (x["start"] >= x["end"])),
+    }
+    own = transcripts.select(F.inline(F.array(*[F.struct(F.lit(k).alias("what"), F.coalesce(v, F.lit(False)).cast("bigint").alias("n")) for k, v in rules.items()])))
+    spans = transcripts.groupBy(*gene).agg(F.min("start").alias("_first"), F.max("end").alias("_last"))
+    both = genes.join(spans, gene, "left")
+    empty, wide = F.col("_first").isNull(), F.coalesce((F.col("_first") < F.col("gene_start")) | (F.col("_last") > F.col("gene_end")), F.lit(False))
+    of_genes = both.select(F.inline(F.array(F.struct(F.lit("gene without transcript").alias("what"), empty.cast("bigint").alias("n")), F.struct(F.lit("transcript outside its gene").alias("what"), wide.cast("bigint").alias("n")))))
+    return own.unionByName(of_genes).groupBy("what").agg(F.sum("n").alias("rows"))

@@ -166,3 +166,30 @@ def sampled(df: DataFrame, key: str, group: str, per_group: int, seed: int = 0,
     if total is not None:
         kept = kept.orderBy("_h", key).limit(total)
     return kept.drop("_h")
+
+
+def in_chunks(df: DataFrame, key: str, per_chunk: int = 100, seed: int = 0, held_out: float = 0.1) -> DataFrame:
+    """``chunk`` (about ``per_chunk`` keys each, by a seeded hash) and ``use``: ``valid`` for that share of the chunks, else ``train``.
+
+    All rows of a key come into one chunk.  The keys are counted once; nothing is sorted.
+    """
+    keys = df.agg(F.count_distinct(key)).first()[0]
+    chunks = max(1, -(-keys // per_chunk))
+    digits = lambda c: F.conv(F.substring(c, 1, 8), 16, 10).cast("bigint")
+    spread = df.withColumn("chunk", (digits(seeded(key, seed)) % chunks).cast("int"))
+    order = F.concat(F.lit(f"{seed}/"), F.col("chunk").cast("string"))
+    return spread.withColumn("use", F.when(digits(F.md5(order)) / float(1 << 32) < held_out, "valid").otherwise("train"))
+
+
+def epoch_order(df: DataFrame, chunk: str, key: list[str], epoch: int, pool: int = 4) -> DataFrame:
+    """``pool_no`` and ``place``: the rows of an epoch, chunks permuted and taken ``pool`` at a time, rows permuted inside each pool.
+
+    Both permutations change with ``epoch`` and are the same on every layout.  A pool is what is read and
+    shuffled together, so it bounds a task.
+    """
+    chunks = df.select(chunk).distinct().withColumn("_order", seeded(chunk, epoch))
+    turn = F.row_number().over(Window.orderBy("_order", chunk)) - 1  # a row a chunk
+    pools = chunks.withColumn("pool_no", F.floor(turn / pool).cast("int")).drop("_order")
+    mixed = F.md5(F.concat_ws(":", F.lit(str(epoch)), *[F.col(k).cast("string") for k in key]))
+    place = F.row_number().over(Window.partitionBy("pool_no").orderBy(mixed, *key)) - 1
+    return df.join(F.broadcast(pools), chunk).withColumn("place", place)

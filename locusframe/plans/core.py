@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from locusframe.plans import intervals, scores, sequences, tables, tracks
+from locusframe.plans import files, intervals, scores, sequences, tables, tracks
 
-MODULES = (tables, sequences, intervals, scores, tracks)
+MODULES = (tables, sequences, intervals, scores, tracks, files)
 
 
 def queries():

@@ -29,18 +29,6 @@ def o_ambiguity_clean(spark, d):
     return _records(spark, d).select("rec_id", count_n.alias("n_count"), F.array_join(Q.invalid_letters("seq"), "").alias("invalid")).distinct()
 
 
-def o_contig_filter(spark, d):
-    """Asked-for contigs that are there, and those that aren't (left as an error to the caller)."""
-    asked = read_table(spark, d, "splice_table").select(F.col("chrom").alias("contig_id")).filter("contig_id is not null").distinct()
-    there = read_table(spark, d, "contigs").filter(~F.coalesce("is_mito", F.lit(False))).select("contig_id").distinct()
-    found = asked.join(there, "contig_id", "left_semi").withColumn("found", F.lit(True))
-    return found.unionByName(asked.join(there, "contig_id", "left_anti").withColumn("found", F.lit(False)))
-
-
-def o_genome_size(spark, d):
-    return read_table(spark, d, "contigs").groupBy("genome_id").agg(F.sum("contig_len").alias("bases"), F.count(F.lit(1)).alias("contigs"))
-
-
 def o_revcomp(spark, d):
     return _records(spark, d).select("rec_id", F.md5(Q.reverse_complement(Q.clean("seq"))).alias("digest")).distinct()
 
@@ -85,10 +73,22 @@ def o_reason_counts(spark, d):
     return o_cds_validate(spark, d).groupBy("reason").agg(F.count(F.lit(1)).alias("records"))
 
 
+def _extended(spark, d, threshold):
+    rows = _records(spark, d).select("rec_id", "strand", "seq", "seq_start", _exons().alias("exons")).dropDuplicates(["rec_id"])
+    return training.extend_stops(rows, threshold).select("rec_id", "reason", "extended", F.element_at("exons", 1)["start"].alias("first_start"), F.element_at("exons", -1)["end"].alias("last_end"))
+
+
 def o_stop_extension(spark, d):
-    """Records whose CDS gets its stop from the triplet after it, with the moved exon bound."""
-    rows = _records(spark, d).select("rec_id", "strand", "seq", "seq_start", _exons().alias("exons"))
-    return training.extend_stops(rows, threshold=0.0).select("rec_id", "reason", "extended", F.element_at("exons", 1)["start"].alias("first_start"), F.element_at("exons", -1)["end"].alias("last_end")).distinct()
+    """Records whose CDS gets its stop from the triplet after it, with the moved exon bound, whatever their share."""
+    return _extended(spark, d, 0.0)
+
+
+def o_stop_rule(spark, d):
+    """The same if nine tenths of the faults are missing stops, on the records and on those without other faults."""
+    whole = _extended(spark, d, 0.9).select("rec_id", F.lit("all").alias("rows"), "reason", "extended")
+    sound = _records(spark, d).select("rec_id", "strand", "seq", "seq_start", _exons().alias("exons")).dropDuplicates(["rec_id"])
+    sound = sound.filter(Q.cds_reason(Q.spliced("seq", "seq_start", F.col("exons"), "strand")).isin("valid", "no_terminal_stop"))
+    return whole.unionByName(training.extend_stops(sound, 0.9).select("rec_id", F.lit("sound").alias("rows"), "reason", "extended"))
 
 
 def o_introns(spark, d):
@@ -152,8 +152,6 @@ _PROT = f"list_aggregate(list_transform(regexp_extract_all(u, '(?s)...'), lambda
 SQL = {
     "o_contig_scan": _R + "SELECT rec_id, length(seq) AS n, md5(c) AS digest FROM r",
     "o_ambiguity_clean": _R + "SELECT rec_id, length(c) - length(replace(c, 'N', '')) AS n_count, coalesce(list_aggregate(list_sort(list_distinct(regexp_extract_all(c, '[^ACGTN]'))), 'string_agg', ''), '') AS invalid FROM r",
-    "o_contig_filter": "SELECT DISTINCT s.chrom AS contig_id, s.chrom IN (SELECT contig_id FROM contigs WHERE NOT coalesce(is_mito, false)) AS found FROM splice_table s WHERE chrom IS NOT NULL",
-    "o_genome_size": "SELECT genome_id, CAST(sum(contig_len) AS BIGINT) AS bases, count(*) AS contigs FROM contigs GROUP BY 1",
     "o_revcomp": _R + "SELECT rec_id, md5(translate(reverse(c), 'ACGTN', 'TGCAN')) AS digest FROM r",
     "o_codon_start_stop": _R + "SELECT rec_id, left(u, 3) IN ('ATG', 'TTG', 'CTG') AS starts, right(u, 3) IN ('TAA', 'TAG', 'TGA') AS stops FROM r",
     "o_stop_counts": _R + f"SELECT rec_id, len({_CODONS.format('u')}) AS stops, CASE WHEN length(u) < 6 THEN 0 ELSE len({_CODONS.format('left(u, CAST((length(u) - 1) // 3 * 3 AS INT))')}) END AS inside FROM r",
@@ -171,6 +169,11 @@ SELECT rec_id, CASE WHEN why = 'no_terminal_stop' AND aft IN ('TAA', 'TAG', 'TGA
   why = 'no_terminal_stop' AND coalesce(aft IN ('TAA', 'TAG', 'TGA'), false) AS extended,
   exons[1].start - CASE WHEN strand = '-' AND why = 'no_terminal_stop' AND aft IN ('TAA', 'TAG', 'TGA') THEN 3 ELSE 0 END AS first_start,
   exons[-1].end + CASE WHEN strand <> '-' AND why = 'no_terminal_stop' AND aft IN ('TAA', 'TAG', 'TGA') THEN 3 ELSE 0 END AS last_end FROM v""",
+    "o_stop_rule": _R + f""", v AS (SELECT *, {_reason('no_terminal_stop', _COMPAT)} AS why FROM k),
+w AS (SELECT 'all' AS rows, * FROM v UNION ALL SELECT 'sound', * FROM v WHERE why IN ('valid', 'no_terminal_stop')),
+z AS (SELECT *, coalesce(count(*) FILTER (why = 'no_terminal_stop') OVER (PARTITION BY rows) >= 0.9 * nullif(count(*) FILTER (why <> 'valid') OVER (PARTITION BY rows), 0), false) AS go FROM w),
+y AS (SELECT *, go AND why = 'no_terminal_stop' AND coalesce(aft IN ('TAA', 'TAG', 'TGA'), false) AS extended FROM z)
+SELECT rec_id, rows, CASE WHEN extended THEN 'valid' ELSE why END AS reason, extended FROM y""",
     "o_introns": _R + "SELECT DISTINCT rec_id, exons[i].end AS intron_start, exons[i + 1].start AS intron_end FROM (SELECT rec_id, exons, unnest(range(1, len(exons))) AS i FROM x)",
     "o_cds_length": _R + "SELECT rec_id, CAST(list_sum(list_transform(exons, lambda e: e.end + 1 - e.start)) AS BIGINT) AS bases, len(exons) AS exons FROM x",
     "o_phase": _R + """, o AS (SELECT rec_id, CASE WHEN strand = '-' THEN list_reverse(exons) ELSE exons END AS e FROM x), f AS (SELECT rec_id, e, unnest(range(0, len(e))) AS exon_no FROM o)

@@ -13,6 +13,7 @@ from locusframe.operators import calling, intervals, isoforms, scorers, tracks,
 from locusframe.operators.grouped import map_groups
 from locusframe.params import Params
 from locusframe.session import read_table, write_once
+from locusframe.sources import tables
 
 
 PARAMS = Params()
@@ -177,13 +178,6 @@ def _contigs(spark, d):
     return rows.select(F.col("rec_id").alias("contig_ord"), F.col("rec_id").cast("string").alias("contig_id"), seq.alias("seq"), F.length("seq").alias("length"))
 
 
-def r_scored_tiles(spark, d):
-    """Sums of the motif scorer's tracks of every strand, scored in tiles of 5,000 bases."""
-    t = tracks.scored(tracks.sequence_tiles(_contigs(spark, d), 5_000), scorers.motif_scorer)
-    total = lambda i: F.sum(F.aggregate(F.col("p")[i - 1], F.lit(0).cast("double"), lambda a, x: a + x))
-    return t.groupBy("contig_id", "strand").agg(F.sum(F.size(F.col("p")[0])).alias("bases"), *[F.round(total(i + 1), 3).alias(n) for i, n in enumerate(S.CLASSES)])
-
-
 def _calls(spark, d):
     c = write_once(_contigs(spark, d))
     return c, write_once(calling.candidate_calls(pipeline.score_tracks(c, PARAMS), PARAMS))
@@ -263,17 +257,10 @@ def o_sample(spark, d):
     return training.sampled(rows, "rec_id", "genome_id", 50, seed=7)
 
 
-def r_datapoints(spark, d):
-    """Windows and labels of all records: how often each code occurs in each window."""
-    rows = read_table(spark, d, "datafile").filter(F.length("seq") > 0).select("rec_id", "seq", "seq_start", "strand", "cds_start", "cds_end", Q.exon_pairs(Q.int_list("jn_end"), Q.int_list("jn_start")).alias("exons")).dropDuplicates(["rec_id"])
-    made = training.datapoints(rows, 5000, 800)
-    times = lambda c, k: F.size(F.filter(c, lambda v: v == k))
-    return made.select("rec_id", "tile_no", *[times("x", k).alias(f"x{k}") for k in range(5)], *[times("y", k).alias(f"y{k}") for k in range(8)])
-
-
 def o_genes_by_file(spark, d):
     """Records of each file of a datafile."""
-    return read_table(spark, d, "datafile").select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "rec_id").distinct().groupBy("file").agg(F.count(F.lit(1)).alias("records"))
+    files = tables.read_datafiles(spark, f"{d}/datafile.parquet")
+    return files.select(F.element_at(F.split("file", "/"), -1).alias("file"), "rec_id").distinct().groupBy("file").agg(F.count(F.lit(1)).alias("records"))
 
 
 _M = """WITH r AS (SELECT DISTINCT rec_id, chrom, strand, cds_start, jn_start, jn_end, seq_start, upper(seq) AS u FROM datafile WHERE length(seq) > 0),
@@ -337,7 +324,7 @@ c AS (SELECT *, list_concat(list_transform(list_filter(string_split(jn_end, ',')
 p AS (SELECT *, lag(call) OVER (PARTITION BY chrom, strand ORDER BY cds_start, rec_id) AS ref FROM c)
 SELECT rec_id, len(list_filter(call, lambda q: NOT list_contains(ref, q))) AS added, len(list_filter(ref, lambda q: NOT list_contains(call, q))) AS removed FROM p WHERE ref IS NOT NULL""",
 }
-ROWS_ONLY = (r_scored_tiles, r_enumerate, r_isoform_select, r_isoform_class, r_end_to_end, r_raw_segments, r_datapoints)
+ROWS_ONLY = (r_enumerate, r_isoform_select, r_isoform_class, r_end_to_end, r_raw_segments)
 
 
 def queries():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locusframe.functions import seq as Q
@@ -58,6 +58,11 @@ def read_sequences(spark: SparkSession, path: str) -> DataFrame:
     return read_fasta(spark, path)
 
 
+def matched(records: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The records whose contig_id is asked for, and the asked ids that no record has."""
+    return records.join(asked, "contig_id", "left_semi"), asked.join(records.select("contig_id"), "contig_id", "left_anti").distinct()
+
+
 def contigs(records: DataFrame, wanted: tuple[str, ...] | None = None, check: bool = True) -> DataFrame:
     """contig_ord, contig_id, seq, length: cleaned records, the last of those with one id.
 
@@ -66,16 +71,21 @@ def contigs(records: DataFrame, wanted: tuple[str, ...] | None = None, check: bo
     """
     if wanted is not None:
         asked = records.sparkSession.createDataFrame([(w,) for w in wanted], "contig_id string")
-        missing = sorted(r[0] for r in asked.join(records.select("contig_id"), "contig_id", "left_anti").distinct().collect())
-        if missing:
-            raise ValueError(f"no such sequences: {', '.join(missing)}")
-        records = records.join(F.broadcast(asked), "contig_id", "left_semi")
+        found, missing = matched(records, F.broadcast(asked))
+        absent = sorted(r[0] for r in missing.collect())  # of the command line's names
+        if absent:
+            raise ValueError(f"no such sequences: {', '.join(absent)}")
+        records = found
     last = Window.partitionBy("contig_id").orderBy(F.desc("contig_ord"))
     once = records.withColumn("_r", F.row_number().over(last)).filter("_r = 1")
     seq = Q.checked("seq") if check else F.upper("seq")
     return once.select("contig_ord", "contig_id", seq.alias("seq"), F.length("seq").alias("length"))
 
 
+def sizes(records: DataFrame, length: Column, group: tuple[str, ...] = ()) -> DataFrame:
+    """Bases and number of records, those of repeated ids too, of all or of each group."""
+    return records.groupBy(*group).agg(F.sum(length).alias("bases"), F.count(F.lit(1)).alias("contigs"))
+
+
 def genome_bases(records: DataFrame) -> int:
-    """Bases of all records, those of repeated ids too."""
-    return records.agg(F.sum(F.length("seq"))).first()[0] or 0
+    return sizes(records, F.length("seq")).first()["bases"] or 0

@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from locusframe.functions import seq as Q
 
 
-def _text(df: DataFrame, order: list, path: str) -> None:
-    """One file in the given order: a range sort in parallel, then the sorted parts through one writer."""
-    df.orderBy(*order).select("value").coalesce(1).write.mode("overwrite").text(path)
+def _text(lines: DataFrame, order: list, path: str) -> None:
+    """A folder of parts in the given order, sorted and written in parallel; put end to end they are one file."""
+    lines.orderBy(*order).select("value").write.mode("overwrite").text(path)
 
 
-def write_gff(rows: DataFrame, contigs: DataFrame, path: str, mean_score: float | None = None) -> None:
-    """GFF3 folder ``path`` with version, mean score, the regions of contigs with genes, and ``genes.gff_rows``."""
+GFF_ORDER = ["part", "ord", "gene", "row_no"]
+
+
+def gff_lines(rows: DataFrame, contigs: DataFrame, mean_score: float | None = None) -> DataFrame:
+    """Lines of a GFF3 file (``value``, sorted by GFF_ORDER): version, mean score, regions of contigs with genes, ``genes.gff_rows``."""
     with_genes = contigs.join(rows.select(F.col("seqid").alias("contig_id")).distinct(), "contig_id", "left_semi")
     heads = ["##gff-version 3.1.26"] + ([f"##mean-gene-score {mean_score:.3f}"] if mean_score is not None else [])
     spark = rows.sparkSession
@@ -22,7 +25,12 @@ def write_gff(rows: DataFrame, contigs: DataFrame, path: str, mean_score: float
     regions = with_genes.select(F.lit(1).alias("part"), F.col("contig_ord").alias("ord"), F.lit("").alias("gene"), F.lit(0).cast("bigint").alias("row_no"), F.concat(F.lit("##sequence-region "), "contig_id", F.lit(" 1 "), F.col("length").cast("string")).alias("value"))
     line = F.concat_ws("\t", "seqid", "source", "feature_type", F.col("start").cast("string"), F.col("end").cast("string"), "score", "strand", "phase", "attributes")
     body = rows.join(contigs.select(F.col("contig_id").alias("seqid"), "contig_ord"), "seqid").select(F.lit(2).alias("part"), F.col("contig_ord").alias("ord"), F.col("gene_id").alias("gene"), "row_no", line.alias("value"))
-    _text(top.unionByName(regions).unionByName(body), ["part", "ord", "gene", "row_no"], path)
+    return top.unionByName(regions).unionByName(body)
+
+
+def write_gff(rows: DataFrame, contigs: DataFrame, path: str, mean_score: float | None = None) -> None:
+    """GFF3 folder ``path``."""
+    _text(gff_lines(rows, contigs, mean_score), GFF_ORDER, path)
 
 
 def cds_of(transcripts: DataFrame, contigs: DataFrame) -> DataFrame:
@@ -32,21 +40,34 @@ def cds_of(transcripts: DataFrame, contigs: DataFrame) -> DataFrame:
     return rows.select("gene_id", "place", F.when(F.col("strand") == -1, Q.reverse_complement(joined)).otherwise(joined).alias("cds"))
 
 
-def write_fasta(cds: DataFrame, path: str, kind: str) -> None:
-    """FASTA folder of ``cds`` or ``protein`` sequences, unwrapped; another kind is a ValueError."""
+def fasta_lines(cds: DataFrame, kind: str) -> DataFrame:
+    """FASTA records (``value``) of ``cds`` or ``protein`` sequences, unwrapped; another kind is a ValueError."""
     if kind not in ("cds", "protein"):
         raise ValueError(f"unknown kind of sequences: {kind}")
     text: Column = F.col("cds") if kind == "cds" else Q.protein("cds")
     name = F.concat("gene_id", F.lit("_mRNA"), (F.col("place") + 1).cast("string"))
-    _text(cds.select("gene_id", "place", F.concat(F.lit(">"), name, F.lit("\n"), text).alias("value")), ["gene_id", "place"], path)
+    return cds.select("gene_id", "place", F.concat(F.lit(">"), name, F.lit("\n"), text).alias("value"))
 
 
-def write_segments(segments: DataFrame, path: str) -> None:
-    """Rows track, contig_id, seg_start, seg_end, value under a heat-map head line."""
+def write_fasta(cds: DataFrame, path: str, kind: str) -> None:
+    """FASTA folder of ``fasta_lines``."""
+    _text(fasta_lines(cds, kind), ["gene_id", "place"], path)
+
+
+SEGMENT_ORDER = ["part", "track", "contig_id", "seg_start"]
+
+
+def segment_lines(segments: DataFrame) -> DataFrame:
+    """Rows track, contig_id, seg_start, seg_end, value (as ``value``, sorted by SEGMENT_ORDER) under a heat-map head line."""
     head = segments.sparkSession.createDataFrame([(0, "", "", 0, "#track graphType=heatmap")], "part int, track string, contig_id string, seg_start bigint, value string")
-    line = F.concat_ws("\t", "track", "contig_id", F.col("seg_start").cast("string"), F.col("seg_end").cast("string"), F.col("value").cast("string"))
-    body = segments.select(F.lit(1).alias("part"), "track", "contig_id", F.col("seg_start").cast("bigint").alias("seg_start"), line.alias("value"))
-    _text(head.unionByName(body), ["part", "track", "contig_id", "seg_start"], path)
+    line = F.concat_ws("\t", "track", F.col("contig_id").cast("string"), F.col("seg_start").cast("string"), F.col("seg_end").cast("string"), F.col("value").cast("string"))
+    body = segments.select(F.lit(1).alias("part"), "track", F.col("contig_id").cast("string").alias("contig_id"), F.col("seg_start").cast("bigint").alias("seg_start"), line.alias("value"))
+    return head.unionByName(body)
+
+
+def write_segments(segments: DataFrame, path: str) -> None:
+    """Folder of ``segment_lines``."""
+    _text(segment_lines(segments), SEGMENT_ORDER, path)
 
 
 def write_splice_table(lines: DataFrame, path: str) -> None:
@@ -59,6 +80,20 @@ def write_datafile(records: DataFrame, path: str, rows_per_file: int = 100_000)
     records.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
+def write_chunks(points: DataFrame, path: str) -> None:
+    """Windows and labels (``training.datapoints`` and ``chunk``) as parquet, a folder for each chunk."""
+    points.repartition("chunk").sortWithinPartitions("chunk", "rec_id", "tile_no").write.mode("overwrite").partitionBy("chunk").parquet(path)
+
+
+def write_validation(judged: DataFrame, path: str) -> None:
+    """Under ``path``: table (the valid rows without their sequences), sequences (their regions as text lines), invalid (the others with reasons)."""
+    valid = judged.filter("reason = 'valid'")
+    valid.drop("seq").write.mode("overwrite").parquet(f"{path}/table")
+    last = F.col("seq_start") + F.length("seq") - 1
+    valid.select(F.concat("chrom", F.lit(":"), F.col("seq_start").cast("string"), F.lit("-"), last.cast("string"), F.lit("\t"), "seq").alias("value")).write.mode("overwrite").text(f"{path}/sequences")
+    judged.filter("reason <> 'valid'").drop("seq").write.mode("overwrite").parquet(f"{path}/invalid")
+
+
 def report(judged: DataFrame) -> str:
     """Counts and shares of validation reasons as text."""
     counts = {r["reason"]: r["n"] for r in judged.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).collect()}  # a handful of reasons
