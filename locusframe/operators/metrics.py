@@ -33,9 +33,9 @@ def top_kl(df: DataFrame, score: str, label: str, tie: str, ks: tuple[float, ...
     r = cut_lineage(ranked_scores(rows, "s", "_y", tuple(group)))
     of = r.groupBy(*group).agg(F.sum("n").alias("total"), F.sum("hits").alias("true"))
     wanted = of.select(*group, "true", F.explode(F.array(*[F.struct(F.lit(float(k)).alias("k"), F.least(F.floor(F.lit(float(k)) * F.col("true")), F.col("total")).cast("bigint").alias("taken")) for k in ks])).alias("c"))
-    cuts = cut_lineage(wanted.select(*group, "true", "c.k", "c.taken"))
+    cuts = wanted.select(*group, "true", "c.k", "c.taken")
     at = r.join(F.broadcast(cuts), group).filter((F.col("seen") >= F.col("taken")) & (F.col("seen") - F.col("n") < F.col("taken")))
-    edge = cut_lineage(at.select(*group, "k", "s", (F.col("found") - F.col("hits")).alias("above"), (F.col("taken") - F.col("seen") + F.col("n")).alias("want")))
+    edge = at.select(*group, "k", "s", (F.col("found") - F.col("hits")).alias("above"), (F.col("taken") - F.col("seen") + F.col("n")).alias("want"))
     tied = rows.join(F.broadcast(edge), [*group, "s"])
     tiles = range_tiles(tied, [*group, "k", "_tie"])
     placed = carried(tiles, [*group, "k"], ["_tie"], F.lit(1).cast("bigint"), "_place", "sum", inclusive=True)

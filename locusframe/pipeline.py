@@ -92,11 +92,13 @@ def raw_segments(contigs: DataFrame, params: Params, least: dict[str, float] | N
     return tracks.segments(score_tracks(contigs, params, make_scorer), {name: (a, b, least[name]) for name, (a, b) in SEGMENT_TRACKS.items()})
 
 
-def training_run(spark: SparkSession, gff: str, sequences: str, out: str, allowed: str | None = None, threshold: float = 0.9) -> str:
+def training_run(spark: SparkSession, gff: str, sequences: str, out: str, allowed: str | None = None, threshold: float = 0.9, block: int = 5000, context: int = 800, per_chunk: int = 100) -> str:
     """Training records of an annotation and its sequences under ``out``, and the validation report.
 
-    Writes splice_table (lines), datafile (valid records as parquet, with the part each goes to) and gives the
-    report's text.  ``allowed`` is a list of gene names to keep.
+    Writes splice_table (lines), validated (the valid rows, their sequences, the invalid rows with reasons),
+    datafile (valid records as parquet, with the part each goes to) and dataset (windows and labels of the
+    training part in chunks, of which a tenth is set aside), and gives the report's text.  ``allowed`` is a
+    list of gene names to keep.
     """
     rows = tables.read_gff(spark, gff).withColumnsRenamed({"start": "feat_start", "end": "feat_end"})
     cds = annotation.cds_rows(annotation.parsed(rows))
@@ -106,9 +108,12 @@ def training_run(spark: SparkSession, gff: str, sequences: str, out: str, allowe
     contigs = fasta.contigs(fasta.read_sequences(spark, sequences), check=False)
     sinks.write_splice_table(annotation.splice_lines(genes_found), f"{out}/splice_table")
     judged = write_once(annotation.training_records(genes_found, contigs, threshold))
+    sinks.write_validation(judged, f"{out}/validated")
     valid = genes.numbered(judged.filter("reason = 'valid'"), ["chrom", "strand", "name"], out="rec_name")
-    number = F.substring("rec_name", 4, 20).cast("bigint")
-    sinks.write_datafile(valid.withColumn("part", training.part_of(number)).drop("rec_name"), f"{out}/datafile")
+    valid = valid.withColumn("rec_id", F.substring("rec_name", 4, 20).cast("bigint")).withColumn("part", training.part_of(F.col("rec_id"))).drop("rec_name")
+    sinks.write_datafile(valid.drop("rec_id"), f"{out}/datafile")
+    points = training.datapoints(valid.filter("part = 'train'"), block, context)
+    sinks.write_chunks(training.in_chunks(points, "rec_id", per_chunk), f"{out}/dataset")
     return sinks.report(judged)
 
 

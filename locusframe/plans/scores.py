@@ -97,9 +97,9 @@ def o_masked_ce(spark, d):
 
 
 def o_locus_split(spark, d):
-    """Loci of the strict survivors split by overlap with their primary; the order of a gene's isoforms."""
-    loose = I.within_margin(_loci(spark, d), LOCUS, "score", 0.02)
-    return G.split_by_primary(loose.withColumn("bases", F.col("tx_end") - F.col("tx_start")), LOCUS, "tx_start", "tx_end", "score", "bases", "call_id").select("call_id", "part_no", "place")
+    """All loci split by overlap with their primaries; the order of a gene's isoforms."""
+    rows = _loci(spark, d).withColumn("bases", F.col("tx_end") - F.col("tx_start"))
+    return G.split_by_primary(rows, LOCUS, "tx_start", "tx_end", "score", "bases", "call_id").select("call_id", "part_no", "place")
 
 
 _L = """WITH c AS (SELECT DISTINCT call_id, contig_id, strand, group_id, tx_start, tx_end, score, n_exons, transcript_variant FROM transcripts
@@ -141,6 +141,13 @@ SQL = {
     "o_gene_rollup": _L + "SELECT * FROM g",
     "o_gene_summary": _L + "SELECT count(*) AS genes, CAST(sum(n_transcripts) AS BIGINT) AS transcripts, round(avg(gene_score), 6) AS mean_score, round(sum(n_transcripts) / count(*), 6) AS per_gene FROM g",
     "o_gene_ids": _L + "SELECT contig_id, strand, group_id, printf('GML%06d', row_number() OVER (ORDER BY contig_id NULLS FIRST, gene_start, -strand NULLS FIRST, group_id)) AS gene_id FROM g",
+    "o_locus_split": _L.replace("WITH c", "WITH RECURSIVE c", 1) + """, r AS (SELECT call_id, tx_start AS s, tx_end AS e, hash(contig_id, strand, group_id) AS g,
+  row_number() OVER (PARTITION BY hash(contig_id, strand, group_id) ORDER BY tx_end - tx_start DESC, score DESC, tx_start, tx_end, call_id) AS rn FROM l),
+f AS (SELECT g, rn, call_id, s, 1 AS home, [{'s': s, 'e': e}] AS firsts FROM r WHERE rn = 1
+  UNION ALL SELECT g, rn, call_id, s, CASE WHEN h = 0 THEN len(firsts) + 1 ELSE h END, CASE WHEN h = 0 THEN list_append(firsts, {'s': s, 'e': e}) ELSE firsts END
+  FROM (SELECT r.*, f.firsts, coalesce(list_position(list_transform(f.firsts, lambda p: r.s < p.e AND p.s < r.e), true), 0) AS h FROM f JOIN r ON r.g = f.g AND r.rn = f.rn + 1)),
+p AS (SELECT g, home, min(s) AS low FROM f GROUP BY ALL), n AS (SELECT g, home, row_number() OVER (PARTITION BY g ORDER BY low, home) - 1 AS part_no FROM p)
+SELECT call_id, CAST(part_no AS INT) AS part_no, CAST(row_number() OVER (PARTITION BY f.g, f.home ORDER BY rn) - 1 AS INT) AS place FROM f JOIN n ON n.g = f.g AND n.home = f.home""",
     "o_gff_rows": """WITH r AS (SELECT DISTINCT rec_id, chrom, strand, jn_start, jn_end FROM datafile WHERE chrom IS NOT NULL),
 x AS (SELECT *, list_sort(list_transform(range(1, len(string_split(rtrim(jn_end, ','), ',')) + 1),
   lambda i: {'start': CAST(trim(string_split(rtrim(jn_end, ','), ',')[i]) AS BIGINT), 'end': CAST(trim(string_split(rtrim(jn_start, ','), ',')[i]) AS BIGINT)})) AS e FROM r),
@@ -163,7 +170,7 @@ SELECT round(coalesce(sum(CAST(h AS DOUBLE) * sh / sn) / sum(h), 0), 9) AS ap, C
 
 
 def queries():
-    return {n: globals()[n] for n in SQL} | {"r_locus_split": o_locus_split}
+    return {n: globals()[n] for n in SQL}
 
 
 def oracle_sql():

@@ -201,6 +201,10 @@ def test_training_run(spark, tmp_path):
     assert rows["g2"].exons[-1].end == at[3] + len(no_stop) + 2
     assert "valid\t3" in text and {r.part for r in rows.values()} <= {"train", "test"}
     assert spark.read.text(str(tmp_path / "out" / "splice_table")).count() >= 3
+    points = spark.read.parquet(str(tmp_path / "out" / "dataset")).collect()
+    assert points and all(len(r.x) == 5800 and len(r.y) == 5000 and r.use in ("train", "valid") for r in points)
+    assert spark.read.parquet(str(tmp_path / "out" / "validated" / "table")).count() == 3
+    assert tables.read_regions(spark, str(tmp_path / "out" / "validated" / "sequences")).filter("length(seq) = region_end - region_start + 1").count() == 3
 
 
 def test_command_line(tmp_path, spark):
