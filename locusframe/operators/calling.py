@@ -21,6 +21,7 @@ from locusframe.operators.grouped import map_groups
 from locusframe.operators.isoforms import choose
 from locusframe.operators.tracks import Prefix, call_score
 from locusframe.params import Params
+from locusframe.session import write_once
 
 # Limits of the region scan.
 STRONG_NONE, NONE_RUN, GOOD, LEAD, GOOD_SHARE, SILENT = 0.8, 20, 0.2, 300, 0.7, 200
@@ -269,11 +270,13 @@ def selected_calls(calls: DataFrame, params: Params, loose: float = LOOSE, stric
     ``place`` is the order in the locus, longest CDS first.
     """
     strand = ["contig_id", "strand"]
-    grouped = I.overlap_groups(calls, strand, "first", "last", "call_no")
+    narrow = calls.select(*strand, "call_no", "first", "last", "score")  # structures join those that are left
+    grouped = write_once(I.overlap_groups(narrow, strand, "first", "last", "call_no"))
     group = [*strand, "overlap_no"]
-    loci = I.anchor_loci(I.within_margin(grouped, group, "score", loose), group, "first", "last", "score", "call_no")
+    loose_ones = write_once(I.within_margin(grouped, group, "score", loose))
+    loci = write_once(I.anchor_loci(loose_ones, group, "first", "last", "score", "call_no"))
     locus = [*group, "locus_no"]
-    final = I.within_margin(loci, locus, "score", strict)
+    final = I.within_margin(loci, locus, "score", strict).join(calls.select(*strand, "call_no", "call"), [*strand, "call_no"])
     limit = params.max_transcripts
 
     def keep(rows: list[dict]) -> list[tuple]:
@@ -282,6 +285,7 @@ def selected_calls(calls: DataFrame, params: Params, loose: float = LOOSE, stric
 
     schema = T.StructType([*final.select(*locus, "call_no").schema.fields, T.StructField("place", T.IntegerType())])
     chosen = map_groups(final, locus, ["first", F.desc("score"), "last", "call_no"], keep, schema)
+    chosen = write_once(chosen)
     numbers = I.carried(I.range_tiles(chosen.select(*locus).distinct(), locus), strand, ["overlap_no", "locus_no"], F.lit(1).cast("bigint"), "group_id", "sum")
     kept = chosen.join(numbers.drop("_tile"), locus).drop("overlap_no", "locus_no")
     return calls.join(kept, [*strand, "call_no"])

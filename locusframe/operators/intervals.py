@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from locusframe.operators.grouped import map_groups
-from locusframe.session import cut_lineage
+from locusframe.session import cut_lineage, write_once
 
 
 def range_tiles(df: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
@@ -197,11 +197,12 @@ def neighbours(df: DataFrame, group: list[str], start: str, end: str, tie: str)
     Inclusive spans.  Ends and probes are sorted together; the running maximum of the ends is the
     nearest one to the left (and mirrored to the right).
     """
+    spans = write_once(df.select(*group, tie, start, end))
     out = df
     for name, probe, value, sign, how in (("upstream", start, end, 1, "max"), ("downstream", end, start, -1, "min")):
         # a value at the probe's own position comes after it
-        probes = out.select(*group, F.col(tie), (F.col(probe) * sign).alias("_p"), F.lit(0).alias("_k"), F.lit(None).cast("bigint").alias("_value"))
-        values = df.select(*group, F.col(tie), (F.col(value) * sign).alias("_p"), F.lit(1).alias("_k"), F.col(value).cast("bigint").alias("_value"))
+        probes = spans.select(*group, F.col(tie), (F.col(probe) * sign).alias("_p"), F.lit(0).alias("_k"), F.lit(None).cast("bigint").alias("_value"))
+        values = spans.select(*group, F.col(tie), (F.col(value) * sign).alias("_p"), F.lit(1).alias("_k"), F.col(value).cast("bigint").alias("_value"))
         tiles = range_tiles(probes.unionByName(values), [*group, "_p", "_k", tie])
         near = carried(tiles, group, ["_p", "_k", tie], F.col("_value"), name, how).filter("_k = 0").select(*group, tie, name)
         out = out.alias("t").join(near.alias("m"), _alike([*group, tie], "t", "m")).select("t.*", f"m.{name}")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from locusframe.functions import attrs as A
 from locusframe.operators import annotation
 from locusframe.operators import intervals as I
-from locusframe.session import read_table
+from locusframe.session import read_table, write_once
 
 CALL = ["contig_id", "strand"]
 
@@ -20,11 +20,15 @@ def calls(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _grouped(spark, d):
+    return write_once(_overlaps(spark, d))
+
+
+def _overlaps(spark, d):
     return I.overlap_groups(calls(spark, d), CALL, "tx_start", "tx_end", "call_id")
 
 
 def o_overlap_islands(spark, d):
-    return _grouped(spark, d).select("call_id", "overlap_no")
+    return _overlaps(spark, d).select("call_id", "overlap_no")
 
 
 def o_margin_filter(spark, d):
@@ -34,7 +38,7 @@ def o_margin_filter(spark, d):
 def o_anchor_split(spark, d):
     """Loci of the loose survivors, then the strict margin inside each locus."""
     loose = I.within_margin(_grouped(spark, d), [*CALL, "overlap_no"], "score", 0.4).withColumn("_last", F.col("tx_end") - 1)
-    loci = I.anchor_loci(loose, [*CALL, "overlap_no"], "tx_start", "_last", "score", "call_id")
+    loci = write_once(I.anchor_loci(write_once(loose), [*CALL, "overlap_no"], "tx_start", "_last", "score", "call_id"))
     return I.within_margin(loci, [*CALL, "overlap_no", "locus_no"], "score", 0.2).select("call_id", "overlap_no", "locus_no")
 
 
