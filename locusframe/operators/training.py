@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from locusframe import schema as S
 from locusframe.functions import seq as Q
+from locusframe.operators.intervals import carried, range_tiles
 
 
 def introns(exons: Column) -> Column:
@@ -188,8 +189,9 @@ def epoch_order(df: DataFrame, chunk: str, key: list[str], epoch: int, pool: int
     shuffled together, so it bounds a task.
     """
     chunks = df.select(chunk).distinct().withColumn("_order", seeded(chunk, epoch))
-    turn = F.row_number().over(Window.orderBy("_order", chunk)) - 1  # a row a chunk
-    pools = chunks.withColumn("pool_no", F.floor(turn / pool).cast("int")).drop("_order")
+    order = ["_order", chunk]
+    turns = carried(range_tiles(chunks, order), [], order, F.lit(1).cast("bigint"), "_turn", "sum")
+    pools = turns.select(chunk, F.floor(F.col("_turn") / pool).cast("int").alias("pool_no"))
     mixed = F.md5(F.concat_ws(":", F.lit(str(epoch)), *[F.col(k).cast("string") for k in key]))
     place = F.row_number().over(Window.partitionBy("pool_no").orderBy(mixed, *key)) - 1
-    return df.join(F.broadcast(pools), chunk).withColumn("place", place)
+    return df.join(pools, chunk).withColumn("place", place)
