@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from locusframe import schema as S
 from locusframe.operators import intervals as I
+from locusframe.operators import training
 from locusframe.operators.grouped import map_groups
 from locusframe.operators.isoforms import choose
 from locusframe.operators.tracks import Prefix, call_score
@@ -302,7 +303,7 @@ def transcripts(selected: DataFrame, contigs: DataFrame) -> DataFrame:
     pair = F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: F.struct(F.get("call", 2 * i)["pos"].alias("a"), (F.get("call", 2 * i + 1)["pos"] + 1).alias("b")))
     turned = F.transform(pair, lambda x: F.struct(F.when(F.col("strand") == 1, x["a"]).otherwise(F.col("_n") - x["b"]).alias("start"), F.when(F.col("strand") == 1, x["b"]).otherwise(F.col("_n") - x["a"]).alias("end")))
     rows = rows.withColumn("_x", turned)
-    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.array().cast("array<int>").alias("out"))
-    phases = F.aggregate("_x", start, lambda a, x: F.struct((a["n"] + x["end"] - x["start"]).alias("n"), F.concat(a["out"], F.array(((3 - a["n"] % 3) % 3).cast("int"))).alias("out")), lambda a: a["out"])
+    inclusive = F.transform("_x", lambda x: F.struct(x["start"].alias("start"), (x["end"] - 1).alias("end")))  # in transcript order
+    phases = training.phases(inclusive, F.lit("+"))
     exons = F.transform(F.arrays_zip(F.col("_x").alias("x"), phases.alias("ph"), F.col("exon_scores").alias("s")), lambda z: F.struct(z["x"]["start"].alias("start"), z["x"]["end"].alias("end"), z["s"].alias("score"), z["ph"].alias("phase")))
-    return rows.withColumn("exons", exons).select("contig_id", "strand", "group_id", "call_no", "place", F.array_min("_x.start").alias("start"), F.array_max("_x.end").alias("end"), "score", "exons", F.aggregate("_x", F.lit(0).cast("bigint"), lambda n, x: n + x["end"] - x["start"]).alias("bases"))
+    return rows.withColumn("exons", exons).select("contig_id", "strand", "group_id", "call_no", "place", F.array_min("_x.start").alias("start"), F.array_max("_x.end").alias("end"), "score", "exons", training.cds_length(inclusive).alias("bases"))
