@@ -2,7 +2,8 @@
 
 Of a string of n letters, cut into n // 9 segments, k = n // 10 edits touch at most k: at least n // 9 - k
 segments occur untouched in the other string, however the edits lie.  All pairs are counted by that (numpy,
-an index of nine-letter words for each block; long strings chunk by chunk), what is left by two further lower
+nine-letter words against the bits of groups of strings, which hold what any of theirs holds; long strings chunk
+by chunk against windows; strings under GROUPED letters against each string), what is left by two further lower
 bounds over shorter segments, what is left then by the dynamic program.  No bound drops a true pair.  Work
 grows as the product of the two sides; it is spread over blocks of limited size.
 """
@@ -19,15 +20,18 @@ from pyspark.sql import functions as F
 
 WORD, FINE, COARSE = 9, 6, 8
 #: Strings from LONG letters on share many words with any other by chance: their words are counted chunk by chunk.
-#: Chunks have CHUNK to CHUNK * 5 / 4 letters, windows of the searched string overlap by the most that a chunk can match.
+#: Chunks have CHUNK to CHUNK * 5 / 4 letters, windows of the searched string begin each STEP letters and overlap by the most that a chunk can match.
 LONG, CHUNK = 4096, 1024
 OVERLAP = CHUNK * 5 // 4 * 11 // 10
+STEP = 2 * OVERLAP
+#: Strings from GROUPED letters on are counted against groups of strings first. Of how few and how many letters a group has, and 64-bit words looked at together.
+GROUPED, FEWEST, MOST, BITS = 400, 2500, 9000, 12_000
 #: Ranges of lengths in an octave.
 RANGES = 8
 #: Short segments of one stretch, and width of half a window of diagonals.
 GROUP = 16
 #: Letters of a block, counters of a batch, letters and matches looked at together.
-BLOCK, COUNTERS, LETTERS, MATCHES = 10_000_000, 400_000, 300_000, 20_000_000
+BLOCK, COUNTERS, LETTERS, MATCHES = 20_000_000, 400_000, 300_000, 20_000_000
 
 
 class Longs:
@@ -36,24 +40,21 @@ class Longs:
     def __init__(self, texts: list[bytes], indexed: bool = True, listed: bool = True):
         from locusframe.llm.overlap import _grams
 
-        self.sizes = np.array([len(t) for t in texts], np.int64)
-        self.begin = np.concatenate([[0], np.cumsum(self.sizes[:-1] + 1)])
-        whole = b"\x00".join(texts)
+        self.sizes, self.begin, whole = _joined(texts)
         m = len(texts)
-        self.short = {FINE: _grams(whole, FINE), COARSE: None if indexed else _grams(whole, COARSE)}
-        if not indexed:
-            return
-        row = np.repeat(np.arange(m, dtype=np.int32), self.sizes + 1)[: len(whole)]
-        end = (self.begin + self.sizes).astype(np.int32)
-        left = np.repeat(end, self.sizes + 1)[: len(whole)] - np.arange(len(whole), dtype=np.int32)  # letters to the end
-        key = _grams(whole, WORD)
-        inside = left[: len(key)] >= WORD
-        bits = max(1, (m - 1).bit_length())
-        kind = np.uint32 if 2 * WORD + bits <= 32 else np.uint64
-        held = np.sort(key[inside].astype(kind) << kind(bits) | row[: len(key)][inside].astype(kind))
-        held = held[np.concatenate([[True], held[1:] != held[:-1]])] if len(held) else held
-        self.start = np.searchsorted(held >> kind(bits), np.arange(4**WORD + 1, dtype=kind))
-        self.holder = (held & kind((1 << bits) - 1)).astype(np.int32)
+        self.short = {FINE: _grams(whole, FINE), COARSE: None if listed else _grams(whole, COARSE)}
+        if indexed:
+            row = np.repeat(np.arange(m, dtype=np.int32), self.sizes + 1)[: len(whole)]
+            end = (self.begin + self.sizes).astype(np.int32)
+            left = np.repeat(end, self.sizes + 1)[: len(whole)] - np.arange(len(whole), dtype=np.int32)  # letters to the end
+            key = _grams(whole, WORD)
+            inside = left[: len(key)] >= WORD
+            bits = max(1, (m - 1).bit_length())
+            kind = np.uint32 if 2 * WORD + bits <= 32 else np.uint64
+            held = np.sort(key[inside].astype(kind) << kind(bits) | row[: len(key)][inside].astype(kind))
+            held = held[np.concatenate([[True], held[1:] != held[:-1]])] if len(held) else held
+            self.start = np.searchsorted(held >> kind(bits), np.arange(4**WORD + 1, dtype=kind))
+            self.holder = (held & kind((1 << bits) - 1)).astype(np.int32)
         if not listed:
             return
         # which short words a string holds at all, a bit for each
@@ -62,11 +63,136 @@ class Longs:
         self.holds = np.empty((m, 4**self.q // 8), np.uint8)
         for first in range(0, m, 64):
             last = min(m, first + 64)
-            low, high = int(self.begin[first]), min(len(word), int(self.begin[last - 1] + self.sizes[last - 1]))
-            some = np.flatnonzero(left[low:high] >= self.q) + low
+            count = np.maximum(0, self.sizes[first:last] - self.q + 1)
             there = np.zeros((last - first, 4**self.q), bool)
-            there[row[some] - first, word[some]] = True
+            there[np.repeat(np.arange(last - first), count), word[_ranges(self.begin[first:last], count)]] = True
             self.holds[first:last] = np.packbits(there, axis=1, bitorder="little")
+        self.room = _room(whole, self.begin, self.begin + self.sizes, self.q)
+
+
+def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Sizes and begins of strings, and the strings one after the other, a zero byte between them."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    return sizes, np.cumsum(sizes + 1) - sizes - 1, b"\x00".join(texts)
+
+
+def _room(whole: bytes, low: np.ndarray, high: np.ndarray, q: int) -> np.ndarray:
+    """Into how many segments of ``q`` letters side by side the runs of A, and of letters counted as A, from low to high can be cut."""
+    from locusframe.llm.overlap import _CODE
+
+    turn = np.flatnonzero(np.diff(_CODE[np.frombuffer(whole, np.uint8)] & 3 == 0, prepend=False, append=False))
+    begin, end = turn[::2], turn[1::2]
+    some = end - begin >= q
+    begin, end = begin[some], end[some]
+    first, last = np.searchsorted(end, low, "right"), np.searchsorted(begin, high)
+    of, run = np.repeat(np.arange(len(low)), last - first), _ranges(first, last - first)
+    room = np.maximum(0, np.minimum(end[run], high[of]) - np.maximum(begin[run], low[of])) // q
+    return np.bincount(of, weights=room, minlength=len(low)).astype(np.int64)
+
+
+class Groups:
+    """Groups of letters (strings next to each other, or a stretch of one) from low to high, with a bit for each word and group that holds it.
+
+    A word of A alone (or letters counted as A) is held a first, second ... time, as far as there is room for it.
+    """
+
+    TIMES = 32
+    NONE, ALL = 4**WORD + TIMES, 4**WORD + TIMES + 1  # a word that no group holds and one that all hold
+
+    def __init__(self, word: np.ndarray, low: np.ndarray, high: np.ndarray, room: np.ndarray):
+        self.held = np.zeros((self.ALL + 1, -(-len(low) // 64)), np.uint64)
+        self.size = len(low)
+        for column in range(self.held.shape[1]):
+            bits = np.zeros(4**WORD, np.uint64)
+            for i in range(64 * column, min(len(low), 64 * column + 64)):
+                key = word[low[i] : high[i]]  # also what lies across two strings: never too few
+                bits[key] |= np.uint64(1 << i % 64)
+            self.held[: 4**WORD, column] = bits
+            for i in range(64 * column, min(len(low), 64 * column + 64)):
+                self.held[4**WORD : 4**WORD + min(self.TIMES, int(room[i])), column] |= np.uint64(1 << i % 64)
+        self.held[self.ALL] = ~np.uint64(0)
+
+    def digits(self, key: np.ndarray) -> list[np.ndarray]:
+        """Of each row of words: how many of them each group holds, as binary digits from the lowest one on, a bit for each group."""
+        waiting: list[list[np.ndarray]] = [[]]
+        for x in range(key.shape[1]):
+            level, carry = 0, self.held[key[:, x]]
+            while carry is not None:
+                if level == len(waiting):
+                    waiting.append([])
+                waiting[level].append(carry)
+                carry = None
+                if len(waiting[level]) == 3:  # three numbers of this weight are one, and one of the next
+                    a, b, c = waiting[level]
+                    either = a ^ b
+                    waiting[level] = [either ^ c]
+                    carry = a & b | either & c
+                    level += 1
+        out, level = [], 0
+        while level < len(waiting):
+            if len(waiting[level]) == 3:
+                a, b, c = waiting[level]
+                digit, carry = a ^ b ^ c, a & b | (a ^ b) & c
+            elif len(waiting[level]) == 2:
+                a, b = waiting[level]
+                digit, carry = a ^ b, a & b
+            else:
+                digit, carry = waiting[level][0], None
+            out.append(digit)
+            level += 1
+            if carry is not None:
+                if level == len(waiting):
+                    waiting.append([])
+                waiting[level].append(carry)
+        return out
+
+    def each(self, bits: np.ndarray) -> np.ndarray:
+        """The bits of all groups, a byte for each."""
+        return np.unpackbits(bits.astype("<u8", copy=False).view(np.uint8), axis=1, bitorder="little", count=self.size)
+
+    def reached(self, key: np.ndarray, least: int) -> np.ndarray:
+        """Of each row of words: which groups hold at least ``least`` of them, as bits."""
+        digits = self.digits(key)
+        more, equal = np.zeros_like(digits[0]), np.full_like(digits[0], ~np.uint64(0))
+        for i in reversed(range(max(len(digits), least.bit_length()))):
+            digit = digits[i] if i < len(digits) else np.zeros_like(more)
+            if least >> i & 1:
+                equal = equal & digit
+            else:
+                more, equal = more | equal & digit, equal & ~digit
+        return more | equal
+
+    def keys(self, cut: Cut, first: int, last: int, pad: np.ndarray) -> np.ndarray:
+        """The words of the strings from ``first`` to before ``last``, a row for each, and ``pad`` words that all groups hold."""
+        own = np.arange(last - first)
+        given, count = cut.between(first, last, WORD)
+        given, row = given.astype(np.int64), np.repeat(own, count)
+        plain = np.flatnonzero(given == 0)
+        time = np.arange(len(plain)) - np.searchsorted(row[plain], row[plain])
+        given[plain] = 4**WORD + np.minimum(time, self.TIMES - 1)
+        key = np.full((last - first, int((count + pad).max())), self.NONE, np.int64)
+        key[row, _ranges(np.zeros_like(count), count)] = given
+        key[np.repeat(own, pad), _ranges(count, pad)] = self.ALL
+        return key
+
+    def found(self, cut: Cut) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Strings, cut in words and ordered by length, and groups that hold as many of their words as an occurrence leaves untouched."""
+        words = cut.sizes // WORD
+        least = words - cut.sizes // 10
+        step = max(1, BITS // self.held.shape[1])
+        for first in range(0, len(words), step):
+            last = min(len(words), first + step)
+            most = int(least[first:last].max())
+            reached = self.reached(self.keys(cut, first, last, most - least[first:last]), most)  # padded, so that one number is to be reached
+            if reached.any():
+                i, g = np.nonzero(self.each(reached))
+                yield first + i, g
+
+
+def group_letters(sizes: np.ndarray) -> int:
+    """Letters of a group that by chance seldom holds as many words of such a string as an occurrence."""
+    words = sizes // WORD
+    return int(np.clip(((0.32 * (words - sizes // 10) - 1) * 4**WORD / words).min(), FEWEST, MOST))
 
 
 class Cut:
@@ -116,9 +242,14 @@ def shared_words(cut: Cut, longs: Longs, first: int, last: int) -> np.ndarray:
 
 
 def missing(own: np.ndarray, longs: Longs, which: np.ndarray) -> np.ndarray:
-    """How many of the segments ``own`` (of ``longs.q`` letters) each of the searched strings ``which`` holds nowhere: each has an edit."""
+    """How many of the segments ``own`` (of ``longs.q`` letters) each of the searched strings ``which`` holds nowhere: each has an edit.
+
+    Untouched segments lie side by side there too, so those of A alone count for no more than its runs have room for.
+    """
+    plain = int(np.count_nonzero(own == 0))
+    own = own[own != 0]
     byte, bit = own >> 3, (own & 7).astype(np.uint8)
-    return len(own) - (longs.holds[which[:, None], byte] >> bit & 1).sum(axis=1, dtype=np.int64)
+    return len(own) - (longs.holds[which[:, None], byte] >> bit & 1).sum(axis=1, dtype=np.int64) + np.maximum(0, plain - longs.room[which])
 
 
 def least_edits(own: np.ndarray, n: int, longs: Longs, which: np.ndarray, q: int = FINE) -> np.ndarray:
@@ -140,7 +271,8 @@ def least_edits(own: np.ndarray, n: int, longs: Longs, which: np.ndarray, q: int
     key = key[some]
     count = degree[key]
     if int(count.sum()) > MATCHES:
-        return np.zeros(len(which), np.int64)
+        half = len(which) // 2
+        return np.concatenate([least_edits(own, n, longs, w, q) for w in (which[:half], which[half:])]) if half else np.zeros(1, np.int64)
     row = np.searchsorted(ends, some, "right")
     place = some - first[row]
     part = order[_ranges(begin[key], count)]
@@ -179,13 +311,44 @@ def short_candidates(shorts: list[bytes], texts: list[bytes]) -> Iterator[tuple[
         shared = shared_words(cut, longs, first, first + len(sizes))
         i, j = np.divmod(np.flatnonzero((shared >= (sizes // WORD - sizes // 10)[:, None]).ravel()), m)
         fit = (longs.sizes[j] >= sizes[i]) & (longs.sizes[j] <= 2 * sizes[i])
-        i, j = i[fit], j[fit]
-        at = np.searchsorted(i, np.arange(len(sizes) + 1))
-        for x in np.flatnonzero(np.diff(at)):
-            own, found = first + int(x), j[at[x] : at[x + 1]]
-            found = found[missing(cut.of(own, longs.q), longs, found) <= sizes[x] // 10]
-            for y in bounded(cut, own, longs, found, FINE) if sizes[x] >= FINE else found:
-                yield own, int(y)
+        yield from _judged(cut, longs, first + i[fit], j[fit])
+
+
+def _judged(cut: Cut, longs: Longs, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Those of the pairs (i in order) that pass the bounds by segments held nowhere and by stretches."""
+    turn = np.flatnonzero(np.diff(i, prepend=-1))
+    for at, end in zip(turn, [*turn[1:], len(i)]):
+        own, found = int(i[at]), j[at:end]
+        n = int(cut.sizes[own])
+        found = found[missing(cut.of(own, longs.q), longs, found) <= n // 10]
+        for y in bounded(cut, own, longs, found, FINE) if n >= FINE else found:
+            yield own, int(y)
+
+
+def grouped_candidates(shorts: list[bytes], texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """The same for strings of GROUPED letters or more, by groups of searched strings.
+
+    A group of strings holds all words that one of them holds. So a group that holds fewer of a string's words
+    than an occurrence leaves untouched has no occurrence; by chance, few groups hold as many.
+    """
+    from locusframe.llm.overlap import _grams
+
+    sizes, begin, whole = _joined(texts)
+    room = _room(whole, begin, begin + sizes, WORD)
+    order = np.lexsort([sizes, np.minimum(room, Groups.TIMES)])  # strings with as much N come together
+    turn = np.argsort([len(s) for s in shorts], kind="stable")
+    cut, texts, room = Cut([shorts[i] for i in turn]), [texts[j] for j in order], room[order]
+    sizes, begin, whole = _joined(texts)
+    head = np.flatnonzero(np.diff(begin // group_letters(cut.sizes), prepend=-1))  # the first string of each group
+    tail = np.append(head[1:], len(texts))
+    groups = Groups(_grams(whole, WORD), begin[head], (begin + sizes)[tail - 1], np.maximum.reduceat(room, head))
+    longs = Longs(texts, indexed=False)
+    for i, g in groups.found(cut):
+        many = tail[g] - head[g]
+        i, j = np.repeat(i, many), _ranges(head[g], many)
+        fit = (longs.sizes[j] >= cut.sizes[i]) & (longs.sizes[j] <= 2 * cut.sizes[i])
+        for x, y in _judged(cut, longs, i[fit], j[fit]):
+            yield int(turn[x]), int(order[y])
 
 
 def long_candidates(shorts: list[bytes], texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -194,37 +357,46 @@ def long_candidates(shorts: list[bytes], texts: list[bytes]) -> Iterator[tuple[i
     A chunk that occurs in a stretch of the searched string lies in one of its windows; it has at least as many
     edits as words that its best window lacks, and the string at least the sum over its chunks.
     """
+    from locusframe.llm.overlap import _grams
+
     chunks, ends = [], [0]
     for s in shorts:
         at = np.linspace(0, len(s), len(s) // CHUNK + 1).astype(int).tolist()
         chunks += [s[x:y] for x, y in zip(at, at[1:])]
         ends.append(len(chunks))
-    windows, owner = [], [0]
-    for t in texts:
-        windows += [t[x : x + 2 * OVERLAP] for x in range(0, max(1, len(t) - OVERLAP), OVERLAP)]
-        owner.append(len(windows))
-    parts, places = Cut(chunks), Longs(windows, listed=False)
-    whole, longs = Cut(shorts), Longs(texts, indexed=False)
+    parts, whole, longs = Cut(chunks), Cut(shorts), Longs(texts, indexed=False, listed=False)
+    _, _, joined = _joined(texts)
+    many = np.maximum(1, -(-(longs.sizes - OVERLAP) // STEP))
+    owner = np.cumsum(many) - many
+    low = np.repeat(longs.begin, many) + STEP * _ranges(np.zeros_like(many), many)
+    high = np.minimum(low + STEP + OVERLAP, np.repeat(longs.begin + longs.sizes, many))
+    windows = Groups(_grams(joined, WORD), low, high, _room(joined, low, high, WORD))
     words = parts.sizes // WORD
-    step = max(1, 2 * COUNTERS // len(windows))
-    for i, n in enumerate(whole.sizes.tolist()):
-        lacking = np.zeros(len(texts), np.int64)
-        for first in range(ends[i], ends[i + 1], step):
-            last = min(ends[i + 1], first + step)
-            best = np.maximum.reduceat(shared_words(parts, places, first, last), owner[:-1], axis=1)
-            lacking += np.maximum(0, words[first:last, None] - best).sum(axis=0)
-        found = np.flatnonzero((lacking <= n // 10) & (longs.sizes >= n) & (longs.sizes <= 2 * n))
-        for q in (COARSE, FINE):
-            found = bounded(whole, i, longs, found, q)
-        for j in found:
-            yield i, int(j)
+    step = max(1, BITS // windows.held.shape[1])
+    first = 0
+    while first < len(shorts):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + step, "right")) - 1)
+        rows = slice(ends[first], ends[last])
+        held = np.zeros((ends[last] - ends[first], len(low)), np.uint8)
+        for level, digit in enumerate(windows.digits(windows.keys(parts, ends[first], ends[last], np.zeros_like(words[rows])))):
+            held += windows.each(digit) << np.uint8(level)
+        best = np.maximum.reduceat(held, owner, axis=1)
+        lacking = np.add.reduceat(np.maximum(0, words[rows, None] - best), np.array(ends[first:last]) - ends[first], axis=0)
+        for i in range(first, last):
+            n = int(whole.sizes[i])
+            found = np.flatnonzero((lacking[i - first] <= n // 10) & (longs.sizes >= n) & (longs.sizes <= 2 * n))
+            for q in (COARSE, FINE):
+                found = bounded(whole, i, longs, found, q)
+            for j in found:
+                yield i, int(j)
+        first = last
 
 
 def occurrences(shorts: list[bytes], texts: list[bytes]) -> Iterator[tuple[int, int]]:
     """All (i, j): the string i matches a stretch of the string j, at most twice as long, with a tenth of i's letters edited."""
     from locusframe.llm.overlap import infix_distance
 
-    for chosen, find in ((lambda n: n < LONG, short_candidates), (lambda n: n >= LONG, long_candidates)):
+    for chosen, find in ((lambda n: n < GROUPED, short_candidates), (lambda n: GROUPED <= n < LONG, grouped_candidates), (lambda n: n >= LONG, long_candidates)):
         rows = [i for i, s in enumerate(shorts) if chosen(len(s))]
         if not rows:
             continue

@@ -375,3 +375,60 @@ def test_blocks_of_all_lengths_by_brute_force(seed):
     want = {(i, j) for i, s in enumerate(held) for j, t in enumerate(train) if slow(s, t)}
     assert found_without_spark(held, train) == want
     assert {(5 * j + 3, j) for j in range(len(train))} <= want
+
+
+def edited_evenly(t, k):
+    """``t`` with ``k`` other letters, as far from each other as can be."""
+    at = {(2 * x + 1) * len(t) // (2 * k) for x in range(k)}
+    return "".join("CGTAN"["ACGTN".index(c)] if i in at else c for i, c in enumerate(t))
+
+
+def test_longer_strings_are_counted_by_groups(monkeypatch):
+    """Not string by string; with as many edits as allowed, among so many strings that there are several groups."""
+    from locusframe.llm import blocks
+
+    monkeypatch.setattr(blocks, "shared_words", None)
+    rng = random.Random(14)
+    sizes = [400, 409, 449, 899, 900, 1023, 2000, 4095, 4096, 5119, 5120, 9000]
+    held = [letters(rng, n) for n in sizes] + [letters(rng, n // 2) + "N" * (n // 5) + letters(rng, n // 4) + "A" * (n // 9) for n in sizes]
+    train = [edited_evenly(t, len(t) // 10) for t in held]
+    train = [letters(rng, len(t) // 3) + t + letters(rng, len(t) // 2) if i % 2 else t for i, t in enumerate(train)]
+    copies = len(train)
+    train += [letters(rng, rng.randrange(400, 9000)) for _ in range(40)] + ["N" * rng.randrange(20, 400) + letters(rng, 1500) for _ in range(20)]
+    for comp in (False, True):
+        turned = [overlap.reverse_complement(t.encode()).decode() if comp else t for t in train]
+        assert found_without_spark(held, turned) == {(i, i) for i in range(copies)}
+        assert found_without_spark(turned, held) == {(i, i) for i in range(copies)}
+
+
+def test_unlike_strings_with_many_n_need_no_recurrence(monkeypatch):
+    from locusframe.llm import blocks
+
+    rng = random.Random(15)
+    mostly = lambda: letters(rng, 432) + "N" * 336 + letters(rng, 432)
+    held, train = [mostly()], [mostly() for _ in range(8)]
+    monkeypatch.setattr(blocks, "MATCHES", 60_000)
+    monkeypatch.setattr(overlap, "infix_distance", None)
+    assert found_without_spark(held, train) == set()
+
+
+def test_words_held_by_groups():
+    import numpy as np
+
+    from locusframe.llm import blocks
+
+    rng = random.Random(16)
+    texts = [(letters(rng, 300) + "N" * 25 + letters(rng, 200) + "A" * 9 + "C").encode() for _ in range(150)]
+    shorts = [(t[:180] + b"N" * 45).decode().encode() for t in texts[:20]]
+    _, begin, whole = blocks._joined(texts)
+    high = begin + np.array([len(t) for t in texts])
+    groups = blocks.Groups(overlap._grams(whole, blocks.WORD), begin, high, blocks._room(whole, begin, high, blocks.WORD))
+    key = groups.keys(blocks.Cut(shorts), 0, len(shorts), np.zeros(len(shorts), int))
+    got = sum(groups.each(d).astype(int) << x for x, d in enumerate(groups.digits(key)))
+    form = lambda t: t.replace(b"N", b"A")
+    for i, s in enumerate(shorts):
+        cut = [form(s)[x : x + 9] for x in range(0, len(s) - 8, 9)]
+        for j, t in enumerate(texts):
+            room = sum(len(run) // 9 for run in form(t).replace(b"C", b" ").replace(b"G", b" ").replace(b"T", b" ").split())
+            assert got[i, j] == sum(w in form(t) for w in cut if w != b"A" * 9) + min(room, cut.count(b"A" * 9))
+    assert (np.unpackbits(groups.reached(key, 9).view(np.uint8), axis=1, bitorder="little")[:, : len(texts)] == (got >= 9)).all()
