@@ -75,3 +75,16 @@ def test_one_contig_over_many_tiles(spark):
         want = chain_by_hand([(s, e, v, k) for k, _, s, e, _, v in own])
         assert {k: n for (h, k), n in loci.items() if h == g} == want
         assert kept & set(want) == strands_by_hand([(s, e, st, v, k) for k, _, s, e, st, v in own])
+
+
+def write_records(spark, folder, rows):
+    spark.createDataFrame(rows, "rec_id bigint, seq string, seq_start bigint, strand string, jn_start string, jn_end string").write.parquet(str(folder / "datafile.parquet"))
+
+
+def test_made_scores_stay_in_the_process_that_uses_them(spark, tmp_path):
+    """One pass of Python over the records: no table of score matrices, whose batches outgrow an executor."""
+    write_records(spark, tmp_path, [(1, "ACGTACGTAC", 0, "+", "2,", "4,")])
+    for name in ("o_event_extract", "o_event_cap", "o_percentile", "o_exon_validity", "o_call_score", "o_segments"):
+        df = tracks.queries()[name](spark, str(tmp_path))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "array<float>" not in df._jdf.queryExecution().analyzed().toString(), name
