@@ -68,6 +68,25 @@ def test_budget_and_cap():
     assert len(full) > 5 and len(search(gene_candidates=2)[0]) <= len(search()[0])
 
 
+def test_considered_events_by_a_plain_sort():
+    rng = np.random.default_rng(11)
+    for _ in range(300):
+        n = int(rng.integers(2, 400))
+        pos = np.sort(rng.integers(0, n, n))
+        kind = np.concatenate([[S.CDS_START], rng.integers(0, 4, n - 1)])
+        score = rng.integers(1, int(rng.integers(3, 300)), n) / 300
+        want = []
+        for t in (S.EXON_START, S.EXON_END, S.CDS_END):
+            own = sorted((i for i in range(1, n) if kind[i] == t), key=lambda i: (-score[i], i))
+            if t != S.CDS_END and own:
+                cut = min(np.percentile(score[own], 60), 0.1)
+                own = own[: min(max(sum(score[i] >= cut for i in own), 15), 60)]
+            want += [(pos[i], (S.EXON_START, S.EXON_END, S.CDS_END).index(t), score[i]) for i in own]
+        got = calling.considered(pos, kind, score)[1:]
+        assert sorted(want) == sorted((pos[i], (S.EXON_START, S.EXON_END, S.CDS_END).index(kind[i]), score[i]) for i in got)
+        assert [(x[0], x[1]) for x in sorted(want, key=lambda x: x[:2])] == [(pos[i], (S.EXON_START, S.EXON_END, S.CDS_END).index(kind[i])) for i in got]
+
+
 def slow_stop(p, start):
     good, last, none, pos = 0, None, 0, start
     while pos < p.shape[1]:
