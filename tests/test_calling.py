@@ -87,6 +87,13 @@ def test_considered_events_by_a_plain_sort():
         assert [(x[0], x[1]) for x in sorted(want, key=lambda x: x[:2])] == [(pos[i], (S.EXON_START, S.EXON_END, S.CDS_END).index(kind[i])) for i in got]
 
 
+def test_percentile_is_that_of_numpy():
+    rng = np.random.default_rng(12)
+    for n in [*range(1, 40), 1000]:
+        x = rng.random(n)
+        assert calling.percentile(x) == np.percentile(x, 60)
+
+
 def slow_stop(p, start):
     good, last, none, pos = 0, None, 0, start
     while pos < p.shape[1]:
