@@ -88,3 +88,23 @@ def test_made_scores_stay_in_the_process_that_uses_them(spark, tmp_path):
         df = tracks.queries()[name](spark, str(tmp_path))
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert plan.count("MapInArrow") == 1 and "array<float>" not in df._jdf.queryExecution().analyzed().toString(), name
+
+
+def test_raw_segments_come_from_one_pass_and_join_tiles(spark):
+    """No table of scores or of unjoined runs is written, and tiles cut nothing."""
+    rng = random.Random(4)
+    seq = "".join(rng.choice("ACGTN") for _ in range(1000))
+    df = spark.createDataFrame([(1, "c", seq, 1000)], "contig_ord bigint, contig_id string, seq string, length int")
+    whole, cut = (pipeline.raw_segments(df, Params(tile=t)) for t in (10**5, 90))
+    assert whole._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert "parquet" not in whole._jdf.queryExecution().analyzed().toString()
+    assert sorted(whole.collect()) == sorted(cut.collect()) and whole.count() > 100
+
+
+def test_calls_of_short_and_long_contigs(spark):
+    """Contigs of one tile, scored where they are searched, and those of several give the same calls."""
+    rng = random.Random(6)
+    rows = [(k, f"c{k}", "".join(rng.choice("ACGT") for _ in range(n)), n) for k, n in enumerate((900, 2000, 2600))]
+    df = spark.createDataFrame(rows, "contig_ord bigint, contig_id string, seq string, length int")
+    one, mixed = (pipeline.candidate_calls(df, Params(tile=t)) for t in (10**5, 1000))
+    assert sorted(map(str, one.collect())) == sorted(map(str, mixed.collect())) and one.count() > 10
